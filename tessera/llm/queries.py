@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP2_SQL, op2_chat_formatting
 from .packing import op10_best_fit_packing
+from .rules import op8_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_chat_formatting": op2_chat_formatting,
+        "op8_quality_rules": op8_quality_rules,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_formatting": OP2_SQL}
