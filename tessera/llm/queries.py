@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP2_SQL, op2_chat_formatting
 from .html import op4_html_extraction
+from .kneser import op6_quality_classifier
 from .minhash import op5_minhash_near_dedup
 from .packing import op10_best_fit_packing
 from .pii import op9_pii
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_formatting": op2_chat_formatting,
         "op4_html_extraction": op4_html_extraction,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_quality_classifier": op6_quality_classifier,
         "op8_quality_rules": op8_quality_rules,
         "op9_pii": op9_pii,
         "op10_best_fit_packing": op10_best_fit_packing,
