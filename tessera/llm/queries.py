@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP2_SQL, op2_chat_formatting
+from .decontaminate import op3_benchmark_decontamination
 from .html import op4_html_extraction
 from .kneser import op6_quality_classifier
 from .minhash import op5_minhash_near_dedup
@@ -18,6 +19,7 @@ from .rules import op8_quality_rules
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_formatting": op2_chat_formatting,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_html_extraction": op4_html_extraction,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_quality_classifier": op6_quality_classifier,
