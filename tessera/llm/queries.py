@@ -13,6 +13,7 @@ from .kneser import op6_quality_classifier
 from .minhash import op5_minhash_near_dedup
 from .packing import op10_best_fit_packing
 from .pii import op9_pii
+from .repeats import op7_suffix_array_dedup
 from .rules import op8_quality_rules
 
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_extraction": op4_html_extraction,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_pii": op9_pii,
         "op10_best_fit_packing": op10_best_fit_packing,
