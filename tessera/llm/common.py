@@ -42,14 +42,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing.
 
     The files are removed when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-work/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,10 +15,12 @@ from .packing import op10_best_fit_packing
 from .pii import op9_pii
 from .repeats import op7_suffix_array_dedup
 from .rules import op8_quality_rules
+from .tokencount import op1_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_html_extraction": op4_html_extraction,

@@ -41,12 +41,13 @@ class WordBpe:
     _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
     _odd = re.compile("[\x1c-\x1f]").search
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
+        self._tok.encode_special_tokens = special_as_text
         self._chars = _byte_chars()
-        self._special = tuple(t.content for t in self._tok.get_added_tokens_decoder().values())
+        self._special = () if special_as_text else tuple(t.content for t in self._tok.get_added_tokens_decoder().values())
         outer = self
 
         class Chunks(dict):
@@ -88,11 +89,15 @@ class WordBpe:
         return b"".join(map(self._chunks.__getitem__, text.split()))
 
 
-_LOADED: dict[str, WordBpe] = {}
+_LOADED: dict[tuple[str, bool], WordBpe] = {}
 
 
-def load(path: str) -> WordBpe:
-    """One encoder a worker and path; its cache outlives tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+def load(path: str, special_as_text: bool = False) -> WordBpe:
+    """One encoder a worker and path; its cache outlives tasks.
+
+    With special_as_text the special tokens' strings in a text are ordinary text.
+    """
+    key = (path, special_as_text)
+    if key not in _LOADED:
+        _LOADED[key] = WordBpe(*key)
+    return _LOADED[key]
