@@ -24,21 +24,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
 from ..ship import ship
+from .common import table
 from .words import _VALUES, mix, powers
 
 #: Bytes of a repeated string; bytes of an anchor; windows of anchors that one window holds.
 LENGTH, GRAM = 50, 19
 REACH = LENGTH - GRAM + 1  # 32: a power of two, and window masks fit 32 bits
 #: Bytes of text in a chunk and chunks in a partition, on average; anchors in a bucket, on average.
-CHUNK_BYTES, CHUNKS_A_PART, BUCKET_ANCHORS = 4 << 20, 4, 250_000
+CHUNK_BYTES, CHUNKS_A_PART, BUCKET_ANCHORS = 4 << 20, 4, 150_000
 
 _U = np.uint64
-_H2_BYTES = 5
 
 
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -83,60 +83,78 @@ class Chunk:
         self.of[order] = np.cumsum(new) - 1
         self.u1, self.u2, self.low = h1[new], h2[new], self.doc[self.head]
 
-    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Positions among the distinct ones, which are sorted by (h1, h2)."""
-        both = lambda a, b: np.rec.fromarrays([a, b], dtype=_PAIR)
-        return np.searchsorted(both(self.u1, self.u2), both(h1, h2)) if len(h1) else np.zeros(0, np.int64)
+    def bucket_starts(self, buckets: np.ndarray, shift: int) -> np.ndarray:
+        """Where each bucket begins among the distinct ones, which are sorted by anchor."""
+        return np.searchsorted(self.u1 >> _U(shift), buckets.astype(np.uint64))
 
 
-_PAIR = np.dtype([("a", np.uint64), ("b", np.uint64)])
+def encode(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit integers, each in the least whole number of bytes that holds its values."""
+    out = [len(columns[0]).to_bytes(4, "little")]
+    for c in columns:
+        c = np.ascontiguousarray(c).view(np.uint64)
+        width = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
+        out += [bytes([width]), c.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()]
+    return b"".join(out)
 
 
-def _pack(values: np.ndarray, n: int) -> np.ndarray:
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :n]
+def decode(blob: bytes, n_columns: int) -> tuple[list[np.ndarray], bytes]:
+    """The columns, and what follows them."""
+    n, at, out = int.from_bytes(blob[:4], "little"), 4, []
+    for _ in range(n_columns):
+        width = blob[at]
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, at + 1).reshape(n, width)
+        out.append(wide.view(np.uint64).ravel())
+        at += 1 + n * width
+    return out, blob[at:]
 
 
-def _unpack(blob: bytes, width: int, at: int, n: int) -> np.ndarray:
-    rows = np.frombuffer(blob, np.uint8).reshape(-1, width)
-    out = np.zeros((len(rows), 8), np.uint8)
-    out[:, :n] = rows[:, at : at + n]
-    return out.view(np.uint64).ravel()
+def _deltas(v: np.ndarray) -> np.ndarray:
+    """Differences of ascending values, the first as it is."""
+    v = v.astype(np.uint64)
+    return np.concatenate([v[:1], v[1:] - v[:-1]])
 
 
-def _send(chunk: int, bucket: np.ndarray, *fields: tuple[np.ndarray, int]) -> pa.Table:
-    """One row a bucket with the packed fields; bucket must be ascending."""
-    packed = np.concatenate([_pack(v.astype(np.uint64) if v.dtype != np.uint64 else v, n) for v, n in fields], axis=1)
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.concatenate([cut[1:], [len(bucket)]]) if len(bucket) else cut
-    return pa.table(
-        {
-            "bucket": pa.array(bucket[cut].astype(np.int64)),
-            "chunk": pa.array([chunk] * len(cut), pa.int64()),
-            "blob": pa.array([packed[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-        }
-    )
+def _slices(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    cut = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return list(zip(cut.tolist(), [*cut[1:].tolist(), len(sorted_keys)]))
 
 
-SENT = "bucket long, chunk long, blob binary"
-#: Replies: kind 0 has (h1, h2, smallest document elsewhere, wanted), kind 1 has (h1, h2, window mask).
-REPLY = "chunk long, kind int, blob binary"
+#: To a bucket: a chunk's columns; inner is used by what only passes through.
+SENT = "bucket long, chunk long, inner long, blob binary"
+#: To a chunk: kind 0 has (position in the chunk's bucket, smallest document, wanted), kind 1 (position, window mask).
+REPLY = "chunk long, kind int, bucket long, blob binary"
 
 
-def _replies(chunk: np.ndarray, kind: int, *fields: tuple[np.ndarray, int]) -> pa.Table:
-    order = np.argsort(chunk, kind="stable")
-    t = _send(0, chunk[order], *[(v[order], n) for v, n in fields])
-    return pa.table({"chunk": t["bucket"], "kind": pa.array([kind] * t.num_rows, pa.int32()), "blob": t["blob"]})
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [[] for _ in fields]
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns)})
 
 
-def _reduce(t):
+def _replies(bucket: int, kind: int, chunk: np.ndarray, pos: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    order = np.lexsort((pos, chunk))
+    chunk, pos, columns = chunk[order], pos[order], [c[order] for c in columns]
+    return _rows(
+        REPLY,
+        [(int(chunk[a]), kind, bucket, encode(_deltas(pos[a:b]), *[c[a:b] for c in columns])) for a, b in _slices(chunk)],
+    )
+
+
+def _reduce(key, t):
     """Step 2 in one bucket: what each chunk must know about its (anchor, context) pairs."""
-    blobs = t["blob"].to_pylist()
-    width = 8 + _H2_BYTES + 8
-    get = lambda at, n: np.concatenate([_unpack(b, width, at, n) for b in blobs])
-    h1, h2, doc = get(0, 8), get(8, _H2_BYTES), get(8 + _H2_BYTES, 8).view(np.int64)
-    chunk = np.repeat(t["chunk"].to_numpy(), [len(b) // width for b in blobs])
+    parts = [decode(b, 3)[0] for b in t["blob"].to_pylist()]
+    sizes = [len(x[0]) for x in parts]
+    chunk = np.repeat(t["chunk"].to_numpy(), sizes)
+    pos = np.concatenate([np.arange(n) for n in sizes])
+    h1 = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts])
+    h2 = np.concatenate([x[1] for x in parts])
+    doc = np.concatenate([x[2] for x in parts]).view(np.int64)
+    del parts
     order = np.lexsort((doc, h2, h1))
-    h1, h2, doc, chunk = h1[order], h2[order], doc[order], chunk[order]
+    h1, h2, doc, chunk, pos = h1[order], h2[order], doc[order], chunk[order], pos[order]
     new1 = np.concatenate([[True], h1[1:] != h1[:-1]])
     new2 = new1 | np.concatenate([[True], h2[1:] != h2[:-1]])
     g1, g2 = np.cumsum(new1) - 1, np.cumsum(new2) - 1
@@ -146,17 +164,7 @@ def _reduce(t):
     most = np.maximum.reduceat(np.where(new2, doc, np.iinfo(np.int64).min), np.flatnonzero(new1))
     wanted = new2 & (contexts > 1)[g1] & (least < most)[g1]
     tell = wanted | (low < doc)
-    return _replies(chunk[tell], 0, (h1[tell], 8), (h2[tell], _H2_BYTES), (low[tell].view(np.uint64), 8), (wanted[tell], 1))
-
-
-_REPLY0 = 8 + _H2_BYTES + 8 + 1
-_REPLY1 = 8 + _H2_BYTES + 4
-
-
-def _read0(t: pa.Table) -> tuple[np.ndarray, ...]:
-    blob = b"".join(b for b, k in zip(t["blob"].to_pylist(), t["kind"].to_pylist()) if k == 0)
-    get = lambda at, n: _unpack(blob, _REPLY0, at, n)
-    return get(0, 8), get(8, _H2_BYTES), get(8 + _H2_BYTES, 8).view(np.int64), get(16 + _H2_BYTES, 1) > 0
+    return _replies(key[0].as_py(), 0, chunk[tell], pos[tell], low[tell], wanted[tell].astype(np.uint64))
 
 
 def longest_previous(docs: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -180,59 +188,62 @@ def longest_previous(docs: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(before, after)
 
 
-def _match(t):
-    """Step 3 in one bucket: window masks of the contexts with an earlier partner."""
-    empty = np.zeros(0, np.uint64)
-    h1s, h2s, docs, chunks, texts, left = [], [], [], [], [], []
-    for blob, chunk in zip(t["blob"].to_pylist(), t["chunk"].to_pylist()):
-        at = 0
-        while at < len(blob):
-            n = blob[at + 24]
-            h1s.append(blob[at : at + 8])
-            h2s.append(blob[at + 8 : at + 16])
-            docs.append(blob[at + 16 : at + 24])
-            chunks.append(chunk)
-            texts.append(blob[at + 25 : at + 25 + n])
-            at += 25 + n
-    if not texts:
-        return _replies(empty.astype(np.int64), 1, (empty, 8), (empty, _H2_BYTES), (empty, 4))
-    num = lambda x, kind: np.frombuffer(b"".join(x), kind)
-    h1, h2, doc, chunk = num(h1s, "<u8"), num(h2s, "<u8"), num(docs, "<i8"), np.array(chunks, np.int64)
-    n_windows = np.array([len(x) for x in texts]) - LENGTH + 1
-    start = np.concatenate([[0], np.cumsum([len(x) for x in texts])[:-1]])
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), n_windows)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+def _match(key, t):
+    """Step 3 in one bucket: window masks of the contexts with an earlier partner; replies of step 2 pass through."""
+    bucket = key[0].as_py()
+    if bucket < 0:
+        return _rows(REPLY, [(c, 0, i, b) for c, i, b in zip(*(t[n].to_pylist() for n in ("chunk", "inner", "blob")))])
+    parts = [decode(b, 3) for b in t["blob"].to_pylist()]
+    chunk = np.repeat(t["chunk"].to_numpy(), [len(c[0]) for c, _ in parts])
+    pos = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c, _ in parts])
+    doc = np.concatenate([c[1] for c, _ in parts]).view(np.int64)
+    size = np.concatenate([c[2] for c, _ in parts]).astype(np.int64)
+    raw = np.frombuffer(b"".join(x for _, x in parts), np.uint8)
+    del parts
+    n_windows = size - LENGTH + 1
+    at = np.repeat(np.cumsum(size) - size - np.cumsum(n_windows) + n_windows, n_windows) + np.arange(int(n_windows.sum()))
     # suffixes as seven big-endian words: their order is the byte order
-    padded = np.zeros((len(owner), 56), np.uint8)
-    padded[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[start[owner] + offset]
+    padded = np.zeros((len(at), 56), np.uint8)
+    for k in range(LENGTH):
+        padded[:, k] = raw[at + k]
     keys = padded.view(">u8").astype(np.uint64)
+    del padded
+    owner = np.repeat(np.arange(len(size)), n_windows)
     order = np.lexsort((doc[owner], *keys.T[::-1]))
-    keys, owner, offset = keys[order], owner[order], offset[order]
+    keys, owner = keys[order], owner[order]
+    offset = at[order] - (np.cumsum(size) - size)[owner]
     same = np.concatenate([[False], (keys[1:] == keys[:-1]).all(1)])
+    del keys, order, at
     near = same | np.concatenate([same[1:], [False]])  # suffixes without an equal neighbour have no match of full length
     owner, offset, lcp = owner[near], offset[near], np.where(same[near], LENGTH, 0)
     hit = longest_previous(doc[owner], lcp) >= LENGTH
-    mask = np.zeros(len(texts), np.uint64)
+    mask = np.zeros(len(size), np.uint64)
     np.bitwise_or.at(mask, owner[hit], _U(1) << offset[hit].astype(_U))
     some = mask > 0
-    return _replies(chunk[some], 1, (h1[some], 8), (h2[some], _H2_BYTES), (mask[some], 4))
+    return _replies(bucket, 1, chunk[some], pos[some], mask[some])
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
 
 
-def _covered(chunk: Chunk, t: pa.Table) -> list[list[tuple[int, int]]]:
+def _read(chunk: Chunk, t: pa.Table, kind: int, n_columns: int, shift: int) -> list[np.ndarray]:
+    """Positions among the chunk's distinct pairs, and the other columns, of the replies of one kind."""
+    own = t.filter(pa.compute.equal(t["kind"], kind)) if t.num_rows else t
+    if not own.num_rows:
+        return [np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * (n_columns - 1)]
+    starts = chunk.bucket_starts(own["bucket"].to_numpy(), shift)
+    parts = [decode(b, n_columns)[0] for b in own["blob"].to_pylist()]
+    at = np.concatenate([np.cumsum(p[0]).astype(np.int64) + s for p, s in zip(parts, starts.tolist())])
+    return [at, *[np.concatenate([p[k] for p in parts]) for k in range(1, n_columns)]]
+
+
+def _covered(chunk: Chunk, t: pa.Table, shift: int) -> list[list[tuple[int, int]]]:
     """Covered byte intervals of each row."""
-    low = chunk.low.copy()
-    h1, h2, m, _ = _read0(t)
-    at = chunk.find(h1, h2)
-    np.minimum.at(low, at, m)
-    mask = np.zeros(len(low), np.uint64)
-    blob = b"".join(b for b, k in zip(t["blob"].to_pylist(), t["kind"].to_pylist()) if k == 1)
-    if blob:
-        at = chunk.find(_unpack(blob, _REPLY1, 0, 8), _unpack(blob, _REPLY1, 8, _H2_BYTES))
-        mask[at] = _unpack(blob, _REPLY1, 8 + _H2_BYTES, 4)
+    low, mask = chunk.low.copy(), np.zeros(len(chunk.low), np.uint64)
+    at, least, _ = _read(chunk, t, 0, 3, shift)
+    low[at] = np.minimum(low[at], least.view(np.int64))
+    at, bits = _read(chunk, t, 1, 2, shift)
+    mask[at] = bits
     out: list[list[tuple[int, int]]] = [[] for _ in chunk.ids]
     whole = chunk.doc > low[chunk.of]
     for row, a, b in zip(chunk.row[whole].tolist(), chunk.first[whole].tolist(), chunk.last[whole].tolist()):
@@ -267,33 +278,33 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-n_bytes // CHUNK_BYTES))
     bits = max(0, (n_bytes // 16 // BUCKET_ANCHORS).bit_length())
-    shift = _U(58 - bits)
+    shift = 58 - bits
     text = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks))).repartition(max(1, -(-n_chunks // CHUNKS_A_PART)), "chunk")
 
     def emit(key, t):
-        c = Chunk(t)
-        bucket = (c.u1 >> shift).astype(np.int64)
-        return _send(key[0].as_py(), bucket, (c.u1, 8), (c.u2, _H2_BYTES), (c.low.view(np.uint64), 8))
+        c, chunk = Chunk(t), key[0].as_py()
+        bucket = (c.u1 >> _U(shift)).astype(np.int64)
+        below = c.u1 & _U((1 << shift) - 1)
+        return _rows(SENT, [(int(bucket[a]), chunk, 0, encode(_deltas(below[a:b]), c.u2[a:b], c.low[a:b])) for a, b in _slices(bucket)])
 
     def contexts(key, t, replies):
-        c, out = Chunk(t), {}
-        h1, h2, _, wanted = _read0(replies)
-        for k in c.find(h1[wanted], h2[wanted]).tolist():
-            i = int(c.head[k])
-            own = c.raw[int(c.row[i])][int(c.first[i]) : int(c.last[i]) + LENGTH].tobytes()
-            head = b"".join(int(x).to_bytes(8, "little", signed=s) for x, s in ((c.u1[k], False), (c.u2[k], False), (c.low[k], True)))
-            out.setdefault(int(c.u1[k] >> shift), []).append(head + bytes([len(own)]) + own)
-        return pa.table(
-            {
-                "bucket": pa.array(list(out), pa.int64()),
-                "chunk": pa.array([key[0].as_py()] * len(out), pa.int64()),
-                "blob": pa.array([b"".join(v) for v in out.values()], pa.binary()),
-            }
-        )
+        c, chunk = Chunk(t), key[0].as_py()
+        rows = [(-1 - chunk, chunk, i, b) for i, b in zip(replies["bucket"].to_pylist(), replies["blob"].to_pylist())]
+        at, _, wanted = _read(c, replies, 0, 3, shift)
+        at = np.sort(at[wanted > 0])
+        bucket = (c.u1[at] >> _U(shift)).astype(np.int64)
+        for a, b in _slices(bucket):
+            own = at[a:b]
+            heads = c.head[own].tolist()
+            texts = [c.raw[int(c.row[i])][int(c.first[i]) : int(c.last[i]) + LENGTH].tobytes() for i in heads]
+            pos = own - c.bucket_starts(bucket[a : a + 1], shift)[0]
+            sizes = np.array([len(x) for x in texts], np.uint64)
+            rows.append((int(bucket[a]), chunk, 0, encode(_deltas(pos), c.low[own], sizes) + b"".join(texts)))
+        return _rows(SENT, rows)
 
     def finish(key, t, replies):
         c = Chunk(t)
-        spans = [_union(x) for x in _covered(c, replies)]
+        spans = [_union(x) for x in _covered(c, replies, shift)]
         kept = []
         for raw, own in zip(c.raw, spans):
             h, at = hashlib.sha256(), 0
@@ -316,8 +327,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = text.groupBy("chunk").applyInArrow(emit, SENT)
     first = sent.groupBy("bucket").applyInArrow(_reduce, REPLY)
     asked = text.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(contexts, SENT)
-    second = asked.groupBy("bucket").applyInArrow(_match, REPLY)
-    replies = first.unionByName(second)
+    replies = asked.groupBy("bucket").applyInArrow(_match, REPLY)
     return text.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, OUT)
 
 
