@@ -66,6 +66,8 @@ def encode_pages(frame: pd.DataFrame, schema: T.StructType, page_bytes: int = PA
     n, kind = slots(schema, page_bytes), _record(schema)
     if n < 1:
         raise SchemaError("a row does not fit a page")
+    if not len(frame):
+        return b""
     rows = np.zeros(len(frame), kind)
     for k, f in enumerate(schema):
         v = frame.iloc[:, k]

@@ -1,0 +1,170 @@
+import random
+
+import pytest
+
+from tessera.errors import AnalysisError
+from tessera.functions.predicates import JoinPredicate, Op, Predicate
+from tessera.operators import aggregate, cross_checked_join, filter_rows, join, order_by, partial_average, project, relation, scan, subquery_join
+from tessera.types import schema_of
+
+from .helpers import plan, rows
+
+INT2 = schema_of([("g", "int"), ("v", "int")])
+
+
+def test_predicate_truth_table(spark):
+    for c in (-1, 0, 1):
+        df = relation(spark, [(c - 1,), (c,), (c + 1,)], schema_of([("x", "int")]))
+        expect = {"=": {c}, ">": {c + 1}, ">=": {c, c + 1}, "<": {c - 1}, "<=": {c - 1, c}, "<>": {c - 1, c + 1}, "LIKE": {c}}
+        for op, want in expect.items():
+            assert {r[0] for r in filter_rows(df, Predicate("x", Op.parse(op), c)).collect()} == want
+
+
+def test_filter_mock_range(spark):
+    df = relation(spark, [(n, n) for n in range(-5, 5)], INT2)
+    count = lambda op, v: filter_rows(df, Predicate("g", op, v)).count()
+    assert [count(Op.LT, 2), count(Op.LT, -5), count(Op.EQ, -5), count(Op.EQ, 0), count(Op.EQ, 4), count(Op.EQ, 5)] == [7, 0, 1, 1, 1, 0]
+
+
+def test_like_is_substring(spark):
+    df = relation(spark, [("foobar",), ("abc%d",), (None,)], schema_of([("s", "string")]))
+    like = lambda v: rows(filter_rows(df, Predicate("s", Op.LIKE, v)))
+    assert like("oba") == [("foobar",)] and like("%b%") == [] and like("FOO") == [] and like("%") == [("abc%d",)]
+
+
+def test_mixed_types_are_refused(spark):
+    df = relation(spark, [(1, 2)], INT2)
+    with pytest.raises(AnalysisError):
+        filter_rows(df, Predicate("g", Op.EQ, "1"))
+    with pytest.raises(AnalysisError):
+        relation(spark, [("a", 1)], INT2)
+    with pytest.raises(AnalysisError):
+        relation(spark, [(1,)], INT2)
+
+
+def test_project_repeats_and_reorders(spark):
+    df = relation(spark, [(1, 2)], INT2)
+    assert [tuple(r) for r in project(df, ["v", "g", "v"]).collect()] == [(2, 1, 2)]
+    with pytest.raises(AnalysisError):
+        project(df, ["nope"])
+
+
+L = [(1, 2), (3, 4), (5, 6), (7, 8)]
+R = [(1, 2, 3), (2, 3, 4), (3, 4, 5), (4, 5, 6), (5, 6, 7)]
+
+
+def _sides(spark):
+    return (
+        relation(spark, L, schema_of([("a", "int"), ("b", "int")])),
+        relation(spark, R, schema_of([("c", "int"), ("d", "int"), ("e", "int")])),
+    )
+
+
+@pytest.mark.parametrize("op", list(Op))
+def test_join_every_operator(spark, op):
+    left, right = _sides(spark)
+    holds = {"=": int.__eq__, "<>": int.__ne__, ">": int.__gt__, ">=": int.__ge__, "<": int.__lt__, "<=": int.__le__, "LIKE": int.__eq__}[op.value]
+    want = sorted(((*x, *y) for x in L for y in R if holds(x[0], y[0])), key=repr)
+    assert rows(join(left, right, JoinPredicate("a", op, "c"))) == want
+
+
+@pytest.mark.parametrize(
+    "strategy,node",
+    [("sort_merge", "SortMergeJoin"), ("hash", "ShuffledHashJoin"), ("broadcast_hash", "BroadcastHashJoin"), ("nested_loop", "CartesianProduct")],
+)
+def test_join_strategies(spark, strategy, node):
+    left, right = _sides(spark)
+    out = join(left, right, JoinPredicate("a", Op.EQ, "c"), strategy=strategy)
+    assert node in plan(out)
+    assert rows(out) == [(1, 2, 1, 2, 3), (3, 4, 3, 4, 5), (5, 6, 5, 6, 7)]
+
+
+def test_join_duplicates_nulls_and_names(spark):
+    s = schema_of([("k", "int")])
+    a, b = relation(spark, [(1,), (1,), (None,)], s), relation(spark, [(1,), (1,), (1,), (None,)], s)
+    assert join(scan(a, "a"), scan(b, "b"), JoinPredicate("a.k", Op.EQ, "b.k")).count() == 6
+    with pytest.raises(AnalysisError):
+        join(a, b, JoinPredicate("k", Op.EQ, "k"))
+
+
+def test_random_joins_against_loops(spark):
+    rnd = random.Random(5)
+    a = [(rnd.randrange(20), rnd.randrange(50)) for _ in range(60)]
+    b = [(rnd.randrange(20), rnd.randrange(50)) for _ in range(40)]
+    da, db = scan(relation(spark, a, INT2), "a"), scan(relation(spark, b, INT2), "b")
+    got = rows(join(da, db, JoinPredicate("a.g", Op.EQ, "b.g"), JoinPredicate("a.v", Op.LT, "b.v")))
+    assert got == sorted(((*x, *y) for x in a for y in b if x[0] == y[0] and x[1] < y[1]), key=repr)
+
+
+def test_cycles_and_unconnected_tables(spark):
+    s = schema_of([("k", "int"), ("v", "int")])
+    a, b, c = (scan(relation(spark, [(1, 1), (2, 2), (3, 9)], s), n) for n in "abc")
+    ab, bc, ca = (JoinPredicate(f"{x}.k", Op.EQ, f"{y}.k") for x, y in ("ab", "bc", "ca"))
+    assert cross_checked_join([a, b, c], [ab, bc, ca]).count() == 3
+    with pytest.raises(AnalysisError, match="joining all nodes"):
+        cross_checked_join([a, b, c], [ab])
+
+
+def test_subquery_duplicates_multiply(spark):
+    a = relation(spark, [(1, 1), (2, 2)], INT2)
+    sub = relation(spark, [(1,), (1,)], schema_of([("x", "int")]))
+    assert subquery_join(a, "g", Op.EQ, sub).count() == 2
+
+
+AGG = [(1, 2), (1, 4), (1, 6), (3, 2), (3, 4), (3, 6), (5, 7)]
+EXPECT = {
+    "sum": [(1, 12), (3, 12), (5, 7)], "avg": [(1, 4), (3, 4), (5, 7)], "min": [(1, 2), (3, 2), (5, 7)],
+    "max": [(1, 6), (3, 6), (5, 7)], "count": [(1, 3), (3, 3), (5, 1)],
+}
+
+
+@pytest.mark.parametrize("op", list(EXPECT))
+def test_aggregates(spark, op):
+    out = aggregate(relation(spark, AGG, INT2), op, "v", "g")
+    assert rows(out) == EXPECT[op] and out.columns == ["g", f"{op}(v)"]
+
+
+def test_aggregate_by_string_and_of_strings(spark):
+    gs = relation(spark, [("a", 2), ("a", 4), ("a", 6), ("b", 2), ("c", 7)], schema_of([("g", "string"), ("v", "int")]))
+    assert rows(aggregate(gs, "SUM", "v", "g")) == [("a", 12), ("b", 2), ("c", 7)]
+    vs = relation(spark, [(1, "a"), (1, "b"), (3, None)], schema_of([("g", "int"), ("v", "string")]))
+    assert rows(aggregate(vs, "count", "v", "g")) == [(1, 2), (3, 0)]
+    for op in ("sum", "min", "max", "avg"):
+        with pytest.raises(AnalysisError):
+            aggregate(vs, op, "v", "g")
+
+
+def test_aggregate_of_nothing_and_truncation(spark):
+    empty = relation(spark, [], INT2)
+    assert rows(aggregate(empty, "max", "v")) == [(None,)] and rows(aggregate(empty, "count", "v")) == [(0,)]
+    assert rows(aggregate(empty, "count", "v", "g")) == []
+    assert rows(aggregate(relation(spark, [(1, -1), (1, -2)], INT2), "avg", "v")) == [(-1,)]
+    big = relation(spark, [(1, 2**31 - 1)] * 3, INT2)
+    assert rows(aggregate(big, "sum", "v")) == [(3 * (2**31 - 1),)]
+
+
+def test_partial_average_equals_average(spark):
+    from pyspark.sql import functions as F
+
+    df = relation(spark, AGG, INT2)
+    assert rows(partial_average(df, "v", "g", F.pmod("v", F.lit(3)))) == EXPECT["avg"]
+
+
+def test_order_by(spark):
+    df = relation(spark, [(2, 1), (1, 2), (2, 3), (None, 4)], INT2)
+    assert [r[0] for r in order_by(df, "g").collect()] == [None, 1, 2, 2]
+    assert [r[0] for r in order_by(df, "g", False).collect()] == [2, 2, 1, None]
+    s = relation(spark, [("b",), ("a",), ("B",)], schema_of([("s", "string")]))
+    assert [r[0] for r in order_by(s, "s").collect()] == ["B", "a", "b"]
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    text = plan(project(filter_rows(part, Predicate("p_size", Op.GT, 40)), ["p_partkey"]))
+    assert "GreaterThan(p_size,40)" in text and "ReadSchema: struct<p_partkey:bigint,p_size:int>" in text
+
+
+def test_theta_join_is_a_nested_loop(spark):
+    left, right = _sides(spark)
+    text = plan(join(left, right, JoinPredicate("a", Op.LT, "c")))
+    assert "BroadcastNestedLoopJoin" in text or "CartesianProduct" in text

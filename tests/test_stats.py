@@ -1,0 +1,104 @@
+import random
+
+import pytest
+
+from tessera.errors import AnalysisError
+from tessera.functions.predicates import Op
+from tessera.operators import relation
+from tessera.plans.join_order import Input, JoinNode, join_cost, join_rows, order_joins
+from tessera.plans.stats import IntHistogram, StringHistogram, TableStats
+from tessera.types import schema_of
+
+
+def _hist(buckets, low, high, values):
+    h = IntHistogram(buckets, low, high)
+    for v in values:
+        h.add(v)
+    return h
+
+
+def test_histogram_inequalities():
+    h = _hist(10, 1, 10, [3, 3, 3, 1, 10])
+    s = h.selectivity
+    assert s(Op.GT, -1) > 0.999 and s(Op.GT, 2) > 0.6 and s(Op.GT, 4) < 0.4 and s(Op.GT, 12) < 0.001
+    assert s(Op.LT, 4) > 0.6 and s(Op.LT, -1) < 0.001 and s(Op.LT, 12) > 0.999
+    assert s(Op.GE, 3) > 0.45 and s(Op.LE, 3) > 0.45
+
+
+def test_histogram_equality():
+    h = _hist(10, 1, 10, [3, 3, 3])
+    assert h.selectivity(Op.EQ, 3) > 0.8 and h.selectivity(Op.EQ, 8) < 0.001
+    assert h.selectivity(Op.NE, 3) < 0.001 and h.selectivity(Op.NE, 8) > 0.01
+    assert 0.001 < _hist(10, -60, -10, range(-60, -9)).selectivity(Op.EQ, -33) < 0.3
+
+
+def test_string_histogram():
+    h = StringHistogram(100)
+    for s in ["apple", "banana", "zebra", "", "zzzzzz"]:
+        h.add(s)
+    assert h.selectivity(Op.LT, "m") > 0.5 and 0 < h.selectivity(Op.LIKE, "x") < 1
+
+
+@pytest.fixture(scope="module")
+def stats(spark):
+    rnd = random.Random(1)
+    rows = [tuple(rnd.randrange(32) for _ in range(3)) + (rnd.choice(["red", "green"]),) for _ in range(10_200)]
+    return TableStats(relation(spark, rows, schema_of([("a", "int"), ("b", "int"), ("c", "int"), ("s", "string")])))
+
+
+def test_table_stats(stats):
+    assert [stats.cardinality(x) for x in (0.3, 1.0, 0.0)] == [3060, 10200, 0]
+    assert abs(stats.selectivity("a", Op.EQ, 16) - 1 / 32) < 0.015
+    assert abs(stats.selectivity("a", Op.LT, 16) - 0.5) < 0.1
+    assert stats.selectivity("a", Op.GT, 99) == 0 and stats.selectivity("a", Op.LT, 99) == 1
+    assert abs(stats.average_selectivity("a") - 1 / 32) < 0.01
+    assert sum(stats.histograms["s"].inner.counts) == 10_200
+
+
+def test_scan_cost_is_linear(spark):
+    cost = lambda n, io: TableStats(relation(spark, [(k,) for k in range(n)], schema_of([("a", "int")])), io).scan_cost()
+    assert cost(2048, 10) == 2 * cost(1024, 10) and cost(1024, 20) == 2 * cost(1024, 10)
+
+
+def test_empty_table_stats(spark):
+    s = TableStats(relation(spark, [], schema_of([("a", "int"), ("s", "string")])))
+    assert s.n_rows == 0 and s.scan_cost() == 0 and s.selectivity("a", Op.EQ, 1) == 1.0
+
+
+def test_join_estimates():
+    eq = JoinNode("x", "a", Op.EQ, "y", "b")
+    assert join_rows(eq, 800, 2000, False, True) == 800 and join_rows(eq, 800, 2000, True, False) == 2000
+    assert join_rows(eq, 800, 2000, True, True) == 800 and join_rows(eq, 800, 2000, False, False) == 2000
+    assert join_rows(JoinNode("x", "a", Op.LT, "y", "b"), 10, 10, False, False) == 30
+    assert join_rows(JoinNode("x", "a", Op.NE, "y", "b"), 10, 20, False, False) == 180
+    assert join_cost(eq, 10, 20, 100, 200) == 100 + 10 * 200 + 10 * 20
+
+
+def test_small_tables_first():
+    joins = [JoinNode("emp", "c1", Op.EQ, "dept", "c0"), JoinNode("hobbies", "c0", Op.EQ, "emp", "c2"), JoinNode("hobbies", "c1", Op.EQ, "hobby", "c0")]
+    got = order_joins(joins, {"emp": Input(6e5, 10_000), "dept": Input(3e3, 1000), "hobbies": Input(4e5, 200_000), "hobby": Input(6e3, 1000)})
+    assert len(got) == 3 and got[0].left != "hobbies"
+
+
+def test_big_table_last():
+    names = "abcdefghijklmn"
+    joins = [JoinNode(x, "c1", Op.EQ, y, "c0") for x, y in zip(names, [*names[1:], "big"])]
+    random.Random(3).shuffle(joins)
+    inputs = {n: Input(1000.0, 100) for n in names} | {"big": Input(10_000.0, 1000)}
+    got = order_joins(joins, inputs)
+    assert len(got) == 14 and got[-1].right == "big"
+
+
+def test_inequality_last():
+    names = "abcdefghi"
+    joins = [JoinNode(x, "c1", Op.LT if x == "a" else Op.EQ, y, "c0") for x, y in zip(names, names[1:])]
+    got = order_joins(joins, {n: Input(1000.0, 100) for n in names})
+    assert "a" in (got[-1].left, got[-1].right)
+
+
+def test_unconnected_joins_are_refused():
+    joins = [JoinNode("a", "x", Op.EQ, "b", "x"), JoinNode("c", "x", Op.EQ, "d", "x")]
+    with pytest.raises(AnalysisError):
+        order_joins(joins, {n: Input(1.0, 1) for n in "abcd"})
+    with pytest.raises(AnalysisError):
+        order_joins(joins[:1], {"a": Input(1.0, 1)})
