@@ -21,8 +21,8 @@ from ..ship import ship
 from . import wordbpe
 from .common import map_rows, materialize, table
 
-#: Tokens in a block; blocks in a span of the two-level scans.
-BLOCK_TOKENS, SPAN_BLOCKS = 1 << 19, 1 << 12
+#: Tokens in a block (64 KiB: small objects for the JVM, small batches for a worker); blocks in a span of the two-level scans.
+BLOCK_TOKENS, SPAN_BLOCKS = 1 << 15, 1 << 12
 #: The public word BPE's end-of-text id, and its file's token width in bytes.
 SEPARATOR, WIDTH = 49407, 2
 
@@ -119,7 +119,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, width: int = WIDTH) -> D
 
         return kernel
 
-    return map_rows(blocks.select("file", "block", "data"), make, T._parse_datatype_string(SCANNED), slice_rows=8)
+    return map_rows(blocks.select("file", "block", "data"), make, T._parse_datatype_string(SCANNED), slice_rows=64)
 
 
 def _scan_before(df: DataFrame, columns: dict[str, tuple]) -> DataFrame:

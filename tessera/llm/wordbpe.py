@@ -6,7 +6,7 @@ import array
 import re
 
 #: Entries of a worker's caches before they are emptied.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 
 
 def default_path() -> str:
