@@ -2,8 +2,9 @@
 
 Counts of the trusted text, continuation counts, discounts and back-off weights are DataFrames keyed by
 n-gram, so every step of the fit is a combined aggregate or a join sharded by n-gram.  A document's
-perplexity is compared with quantiles of the trusted documents of its language and length band, at
-both ends: text unlike the trusted text, and text more monotonous than it, is rejected.
+perplexity is compared with a high quantile over trusted documents of its language and length band;
+text less likely than that is rejected.  The quantiles come from trusted documents that the model was
+not fitted on, as seen ones look likelier than they are.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ ORDER = 5
 BROADCAST_NGRAMS = 4_000_000
 #: Trusted ids that are broadcast at most; beyond, the trusted texts are found by a shuffled join.
 BROADCAST_IDS = 1_000_000
-#: Share of trusted documents beyond the upper and the lower threshold.
-TAIL_HIGH, TAIL_LOW = 0.002, 0.002
+#: One in so many trusted documents, by a hash of its id, is held out of the counts and sets the thresholds.
+HELD_OUT = 5
+#: Share of held-out trusted documents above the threshold, and the factor that allows for few of them.
+TAIL, SLACK = 0.004, 1.01
 #: Trusted documents that a language's length band needs for thresholds of its own.
 BAND_DOCS = 50
 
@@ -249,17 +252,17 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, low, high, kept of every document row.
+    """doc_id, lang, n_symbols, perplexity, threshold, kept of every document row.
 
-    Thresholds are quantiles of the trusted documents' perplexities by language and length band (a
-    doubling of length); bands with few trusted documents use their language's, languages with few use
-    all.  Null or empty text has a null perplexity and is rejected; a null language is a language of its
-    own; repeated rows are judged each; an empty table gives no rows; without trusted documents every
+    The threshold is a quantile of the held-out trusted documents' perplexities by language and length band
+    (a doubling of length); bands with few such documents use their language's, languages with few use all.
+    Null or empty text has a null perplexity and is rejected; a null language is a language of its own;
+    repeated rows are judged each; an empty table gives no rows; without held-out trusted documents every
     non-empty document is kept.  Other columns are ignored.
     """
-    ids = materialize(trusted_ids(labels), "kn-trusted")
+    ids = materialize(trusted_ids(labels).withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0), "kn-trusted")
     one = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    trusted = docs.select(F.col("doc_id").cast("long"), "text").join(one, "doc_id", "left_semi")
+    trusted = docs.select(F.col("doc_id").cast("long"), "text").join(one.where("not held_out"), "doc_id", "left_semi")
     model = fit(trusted)
     small = model.count() <= BROADCAST_NGRAMS
     scores = materialize((_score_held if small else _score_sharded)(docs, model), "kn-scores")
@@ -268,20 +271,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.when(F.col("n_symbols") > 0, F.exp(-F.col("logp") / F.col("n_symbols"))).alias("perplexity"),
         F.floor(F.log2(F.greatest("n_symbols", F.lit(1)))).cast("int").alias("band"),
     )
-    good = scores.where("perplexity is not null").join(ids, "doc_id", "left_semi")
-    ends = F.percentile_approx("perplexity", F.array(F.lit(TAIL_LOW), F.lit(1 - TAIL_HIGH)), 20_000).alias("ends")
+    good = scores.where("perplexity is not null").join(ids.where("held_out"), "doc_id", "left_semi")
     cube = good.groupingSets([["lang", "band"], ["lang"], []], "lang", "band").agg(
-        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), ends
-    )
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"),
+        (F.lit(SLACK) * F.percentile_approx("perplexity", F.lit(1 - TAIL), 20_000)).alias("most"),
+    )
     cube = materialize(cube.where(F.col("n") >= F.when(F.col("level") == 3, 1).otherwise(BAND_DOCS)), "kn-quantiles")
-    by = lambda level, *on: F.broadcast(cube.where(F.col("level") == level).select(*on, F.col("ends").alias(f"e{level}")))
+    by = lambda level, *on: cube.where(F.col("level") == level).select(*on, F.col("most").alias(f"m{level}"))
     out = scores.join(by(0, "lang", "band"), ["lang", "band"], "left").join(by(1, "lang"), "lang", "left").crossJoin(
-        F.broadcast(cube.where("level = 3").agg(F.first("ends").alias("e3")))  # one row
+        by(3).agg(F.first("m3").alias("m3"))  # one row
     )
-    ends = F.coalesce("e0", "e1", "e3")
-    low, high = ends[0], ends[1]
-    keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity").between(low, high), F.lit(True))
-    return out.select("doc_id", "lang", "n_symbols", "perplexity", low.alias("low"), high.alias("high"), keep.alias("kept"))
+    most = F.coalesce("m0", "m1", "m3")
+    keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= most, F.lit(True))
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", most.alias("threshold"), keep.alias("kept"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
