@@ -213,29 +213,28 @@ def classify(found: list[Block]) -> list[bool]:
             marks.append(GOOD if stops >= MANY_STOPS else OPEN)
         else:
             marks.append(OPEN)
-    before: list[int | None] = []
-    after: list[int | None] = []
-    last = None
+    # (label, distance) of the nearest decided block on either side
+    far = (None, len(found) + 1)
+    before, near = [], far
     for m in marks:
-        before.append(last)
-        last = m if m != OPEN else last
-    last = None
+        before.append(near)
+        near = (m, 1) if m != OPEN else (near[0], near[1] + 1)
+    after, near = [], far
     for m in reversed(marks):
-        after.append(last)
-        last = m if m != OPEN else last
+        after.append(near)
+        near = (m, 1) if m != OPEN else (near[0], near[1] + 1)
     after.reverse()
     out = []
-    for k, (b, m) in enumerate(zip(found, marks)):
-        if m != OPEN:
-            out.append(m == GOOD)
-        elif before[k] is None or after[k] is None:  # at a page's edge, or nothing was decided at all
-            out.append((before[k] if after[k] is None else after[k]) != BAD)
-        elif before[k] == after[k]:
-            out.append(before[k] == GOOD)
-        elif b.heading:  # a heading belongs to what follows
-            out.append(after[k] == GOOD)
-        else:  # between text and furniture: sentences go with the text
-            out.append(b.words >= SHORT_WORDS and b.stops / max(1, b.words) >= SOME_STOPS)
+    for b, m, (left, back), (right, on) in zip(found, marks, before, after):
+        if m == OPEN:
+            if left is None or right is None:  # nothing decided on one side, or at all: then it is content
+                m = left if right is None else right
+                m = GOOD if m is None else m
+            elif b.heading:  # a heading belongs to what follows
+                m = right
+            else:  # the nearer one; text goes on from what is before
+                m = left if back <= on else right
+        out.append(m == GOOD)
     return out
 
 
