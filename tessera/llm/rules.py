@@ -164,12 +164,18 @@ def _prune(rule: list[Condition], frame: pd.DataFrame, bad: np.ndarray) -> tuple
 def learn(frame: pd.DataFrame, bad: np.ndarray, held_out: np.ndarray) -> list[list[Condition]]:
     """Rules in order: grow on the rows not held out, prune on the others, remove what is covered, repeat."""
     rules: list[list[Condition]] = []
-    alive = np.ones(len(frame), bool)
-    while len(rules) < MAX_RULES and (alive & bad & ~held_out).any():
-        g, h = alive & ~held_out, alive & held_out
-        rule, precision = _prune(_grow(frame[g], bad[g]), frame[h], bad[h])
-        if not rule or precision < MIN_PRECISION:
+    alive, aside = np.ones(len(frame), bool), np.zeros(len(frame), bool)
+    for _ in range(2 * MAX_RULES):
+        g, h = alive & ~held_out & ~aside, alive & held_out
+        if len(rules) == MAX_RULES or not bad[g].any():
             break
+        grown = _grow(frame[g], bad[g])
+        if not grown:
+            break
+        rule, precision = _prune(grown, frame[h], bad[h])
+        if precision < MIN_PRECISION:  # not to be trusted: set what it was grown for aside and look for others
+            aside |= _cover(grown, frame) & bad
+            continue
         rules.append(rule)
         alive &= ~_cover(rule, frame)
     return rules
@@ -187,11 +193,18 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def fit(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """Learn from at most FIT_ROWS labelled rows; a document labelled more than once counts by its lowest quality."""
+    """Learn from at most FIT_ROWS labelled rows that pass the base check; a document labelled more than once counts
+    by its lowest quality.  A hash threshold picks the rows, so that no task sends more than its share."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    share = min(1.0, 0.95 * FIT_ROWS / max(1, one.count()))
+    one = one.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = (
-        stats.dropDuplicates(["doc_id"]).join(one, "doc_id").where("n_words > 0")
+        stats.dropDuplicates(["doc_id"]).join(one, "doc_id").where(~base_failed())
         .select("quality", F.xxhash64("doc_id").alias("h"), "doc_id", *[c.alias(n) for n, c in feature_columns().items()])
         .orderBy("h", "doc_id").limit(FIT_ROWS).toPandas()
     )
@@ -209,7 +222,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     stats = materialize(statistics(docs), "rule-stats")
     rules = fit(stats, labels)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = base_failed()
     return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"),
