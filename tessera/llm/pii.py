@@ -194,25 +194,26 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Rows whose text holds none stay as they are.  Overlapping spans are replaced once, by the first.
     """
-    hits = find(docs).where(F.size("spans") > 0).select("text_key", "spans").groupBy("text_key").agg(F.first("spans").alias("spans"))
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")))).join(hits, F.col("_key") == F.col("text_key"), "left")
+    hits = find(docs).where(F.size("spans") > 0).select(F.col("text_key").alias("_pii_key"), "spans")
+    hits = hits.groupBy("_pii_key").agg(F.first("spans").alias("_pii_spans"))
+    out = docs.join(hits, F.md5(F.coalesce("text", F.lit(""))) == F.col("_pii_key"), "left")
+    piece = lambda a, n: F.substring("text", (a + 1).cast("int"), n.cast("int"))
     cut = F.aggregate(
-        "spans",
+        "_pii_spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(
             s["start"] >= a["at"],
             F.struct(
                 s["end"].alias("at"),
                 F.concat(
-                    a["out"], F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")),
-                    F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit(">"),
+                    a["out"], piece(a["at"], s["start"] - a["at"]), F.lit("<"),
+                    F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit(">"),
                 ).alias("out"),
             ),
         ).otherwise(a),
-        lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))),
+        lambda a: F.concat(a["out"], piece(a["at"], F.length("text"))),
     )
-    clean = F.when(F.col("spans").isNotNull(), cut).otherwise(F.col("text"))
-    out = keyed.withColumn("text", clean).drop("_key", "text_key", "spans")
+    out = out.withColumn("text", F.when(F.col("_pii_spans").isNotNull(), cut).otherwise(F.col("text"))).drop("_pii_key", "_pii_spans")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
