@@ -27,8 +27,9 @@ BROADCAST_NGRAMS = 4_000_000
 BROADCAST_IDS = 1_000_000
 #: One in so many trusted documents, by a hash of its id, is held out of the counts and sets the thresholds.
 HELD_OUT = 5
-#: Share of held-out trusted documents above the threshold, and the factor that allows for few of them.
-TAIL, SLACK = 0.004, 1.01
+#: Share of held-out trusted documents above the threshold; the threshold is raised by 1 % and, as a quantile of
+#: n documents is only so sure, by FEW / sqrt(n).
+TAIL, SLACK, FEW = 0.004, 1.01, 0.5
 #: Trusted documents that a language's length band needs for thresholds of its own.
 BAND_DOCS = 50
 
@@ -274,7 +275,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = scores.where("perplexity is not null").join(ids.where("held_out"), "doc_id", "left_semi")
     cube = good.groupingSets([["lang", "band"], ["lang"], []], "lang", "band").agg(
         F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"),
-        (F.lit(SLACK) * F.percentile_approx("perplexity", F.lit(1 - TAIL), 20_000)).alias("most"),
+        ((SLACK + FEW / F.sqrt(F.count(F.lit(1)))) * F.percentile_approx("perplexity", F.lit(1 - TAIL), 20_000)).alias("most"),
     )
     cube = materialize(cube.where(F.col("n") >= F.when(F.col("level") == 3, 1).otherwise(BAND_DOCS)), "kn-quantiles")
     by = lambda level, *on: cube.where(F.col("level") == level).select(*on, F.col("most").alias(f"m{level}"))
