@@ -5,8 +5,6 @@ A query is (function, SQL); the function takes the loaded tables as attributes o
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,7 @@ from ..functions.predicates import JoinPredicate, Op, Predicate
 from ..session import Engine
 from ..ship import ship
 from ..sources.heap import read_heap, write_heap
+from ..sources.scratch import new_folder
 from ..sources.snapshot import Database
 from ..sources.sorted_table import index_scan, write_sorted
 from ..streaming import running_by_row
@@ -36,8 +35,7 @@ class Tables:
 
     def scratch(self) -> str:
         """A new folder that driver and executors share."""
-        base = self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or self.spark.sparkContext.getCheckpointDir()
-        return f"{(base or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/tessera-scratch/{uuid.uuid4().hex}"
+        return new_folder(self.spark, "scratch")
 
     def engine(self, **options) -> Engine:
         out = Engine(self.spark, **options)
