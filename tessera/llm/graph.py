@@ -24,7 +24,8 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     while before[0]:
         # larger neighbours of each node go to the smallest of its neighbourhood
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # (written, so that the join deals both sides anew and can split a hub's neighbours over tasks)
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{label}-{k}-low")
         wide = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         wide = _largest_last(wide)
         # smaller neighbours, and the node, go to the smallest of them
