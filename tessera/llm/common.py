@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import ship
+from ..sources.scratch import new_folder
 
 #: Rows that a Python kernel turns into Python strings at once.
 SLICE_ROWS = 256
@@ -24,33 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is already gone; the folder is scratch space
-        pass
-
-
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing.
 
     The files are removed when the driver exits.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-work/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.options(**options).parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
