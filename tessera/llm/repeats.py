@@ -8,10 +8,12 @@ of windows it represents.
    document, packed by anchor bucket, so neither a common passage nor a large group of copies makes a hot
    bucket: it counts once a chunk.
 2. A bucket sorts them: documents above the smallest of an equal context are covered as a whole.  Where
-   one anchor has several contexts, one copy of each is asked for.
-3. These contexts' suffixes are sorted (a suffix array of the bucket); with their common prefixes and the
-   previous and next smaller documents in suffix order, the longest-previous-factor array tells which
-   windows begin an earlier match of full length.
+   one anchor has several contexts (its surroundings differ), one copy of each is looked at further.
+3. The chunks that hold these copies sort their suffixes into a suffix array; with common prefixes and the
+   previous and next smaller documents in suffix order, the longest-previous-factor array tells which windows
+   begin a match of full length with an earlier document of the chunk.  Each class of equal suffixes goes once,
+   by fingerprint and smallest document, to a bucket of its own, which merges the classes of all chunks - so
+   windows inside a passage that many documents share count once a chunk as well.
 4. Chunks remove the covered bytes.
 
 The chunked text is shuffled once; the three passes over it are branches of one plan and share that
@@ -42,10 +44,11 @@ _U = np.uint64
 
 
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash (58 bits), context hash (40 bits), first and last window start, of each anchor in order."""
+    """Anchor hash (58 bits), context hash (40 bits), first and last window start, of each anchor in order, and the
+    prefix sums of the text's polynomial hash."""
     n = len(raw)
     if n < LENGTH:
-        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 2 + (np.zeros(n + 1, _U),)
     power, inverse = powers(n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(_VALUES[raw] * power[:n], out=total[1:])
@@ -61,16 +64,18 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, ...]:
     context = (total[last + LENGTH] - total[first]) * inverse[first]
     shape = ((at[first] - first) * 64 + last - first).astype(_U)
     h2 = mix(context + mix(shape + _U(1))) >> _U(24)
-    return key[first] >> _U(6), h2, first, last
+    return key[first] >> _U(6), h2, first, last, total
 
 
 class Chunk:
     """The anchors of a chunk's rows, and each distinct (anchor, context)'s smallest document."""
 
     def __init__(self, t: pa.Table):
+        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # the same chunk in every pass, whatever order rows came in
         self.ids = t["doc_id"].to_pylist()
         self.raw = [np.frombuffer((x or "").encode("utf-8", "surrogatepass"), np.uint8) for x in t["text"].to_pylist()]
-        found = [anchors(r) if i is not None else anchors(r[:0]) for i, r in zip(self.ids, self.raw)]
+        found = [anchors(r if i is not None else r[:0]) for i, r in zip(self.ids, self.raw)]
+        self.totals = [f[4] for f in found]
         self.row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         cat = lambda k, kind: np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind)
         self.h1, self.h2, self.first, self.last = cat(0, _U), cat(1, _U), cat(2, np.int64), cat(3, np.int64)
@@ -88,6 +93,56 @@ class Chunk:
         return np.searchsorted(self.u1 >> _U(shift), buckets.astype(np.uint64))
 
 
+class Windows:
+    """All windows of one occurrence (in the smallest document) of each of some distinct contexts."""
+
+    def __init__(self, chunk: Chunk, at: np.ndarray):
+        head = chunk.head[at]
+        n = chunk.last[head] - chunk.first[head] + 1
+        self.owner = np.repeat(np.arange(len(at)), n)
+        self.offset = np.arange(len(self.owner)) - np.repeat(np.cumsum(n) - n, n)
+        self.doc = chunk.doc[head][self.owner]
+        start = chunk.first[head][self.owner] + self.offset
+        row = chunk.row[head][self.owner]
+        sizes = np.array([len(r) for r in chunk.raw], np.int64)
+        self._raw, self._start = chunk.raw, (np.cumsum(sizes) - sizes)[row] + start
+        sizes = np.array([len(x) for x in chunk.totals], np.int64)
+        total = np.concatenate(chunk.totals) if chunk.totals else np.zeros(0, _U)
+        base = (np.cumsum(sizes) - sizes)[row] + start
+        _, inverse = powers(int(sizes.max(initial=1)))
+        #: Fingerprint of each window: 64 bits of its bytes and 16 of its anchor.
+        self.print = mix((total[base + LENGTH] - total[base]) * inverse[start])
+        self.tag = chunk.u1[at][self.owner] & _U(0xFFFF)
+        order = np.lexsort((self.doc, self.tag, self.print))
+        p, g, d = self.print[order], self.tag[order], self.doc[order]
+        new = np.concatenate([[True], (p[1:] != p[:-1]) | (g[1:] != g[:-1])]) if len(p) else np.zeros(0, bool)
+        self.class_print, self.class_tag, self.class_low = p[new], g[new], d[new]
+        self.of = np.zeros(len(p), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+
+    def earlier_here(self) -> np.ndarray:
+        """Whether each window begins a match of full length with a smaller document of the chunk: the suffix
+        array of the windows, and its longest-previous-factors."""
+        raw = np.concatenate(self._raw) if self._raw else np.zeros(0, np.uint8)
+        padded = np.zeros((len(self._start), 56), np.uint8)
+        for k in range(LENGTH):
+            padded[:, k] = raw[self._start + k]
+        keys = padded.view(">u8").astype(np.uint64)  # seven big-endian words: their order is the byte order
+        order = np.lexsort((self.doc, *keys.T[::-1]))
+        keys = keys[order]
+        same = np.concatenate([[False], (keys[1:] == keys[:-1]).all(1)]) if len(keys) else np.zeros(0, bool)
+        near = same | np.concatenate([same[1:], [False]]) if len(keys) else same  # the others have no match of full length
+        hit = np.zeros(len(order), bool)
+        hit[order[near]] = longest_previous(self.doc[order[near]], np.where(same[near], LENGTH, 0)) >= LENGTH
+        return hit
+
+    def masks(self, hit: np.ndarray, n: int) -> np.ndarray:
+        """Window bits of each of the n contexts."""
+        out = np.zeros(n, np.uint64)
+        np.bitwise_or.at(out, self.owner[hit], _U(1) << self.offset[hit].astype(_U))
+        return out
+
+
 def encode(*columns: np.ndarray) -> bytes:
     """Columns of 64-bit integers, each in the least whole number of bytes that holds its values."""
     out = [len(columns[0]).to_bytes(4, "little")]
@@ -110,6 +165,11 @@ def decode(blob: bytes, n_columns: int) -> tuple[list[np.ndarray], bytes]:
     return out, blob[at:]
 
 
+def _top(v: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of 64-bit values."""
+    return (v >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(v), np.int64)
+
+
 def _deltas(v: np.ndarray) -> np.ndarray:
     """Differences of ascending values, the first as it is."""
     v = v.astype(np.uint64)
@@ -121,9 +181,10 @@ def _slices(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut.tolist(), [*cut[1:].tolist(), len(sorted_keys)]))
 
 
-#: To a bucket: a chunk's columns; inner is used by what only passes through.
+#: To a bucket: a chunk's columns; inner is used by what only passes through a negative bucket, back to its chunk.
 SENT = "bucket long, chunk long, inner long, blob binary"
-#: To a chunk: kind 0 has (position in the chunk's bucket, smallest document, wanted), kind 1 (position, window mask).
+#: To a chunk: kind 0 has (position in the chunk's bucket, smallest document, wanted), kind 1 positions of its classes
+#: in the bucket with an earlier document elsewhere, kind 2 (position among all contexts, window mask).
 REPLY = "chunk long, kind int, bucket long, blob binary"
 
 
@@ -188,62 +249,57 @@ def longest_previous(docs: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(before, after)
 
 
-def _match(key, t):
-    """Step 3 in one bucket: window masks of the contexts with an earlier partner; replies of step 2 pass through."""
+def _merge(key, t):
+    """Step 3 in one bucket of classes: which chunks' classes have an earlier document elsewhere."""
     bucket = key[0].as_py()
     if bucket < 0:
-        return _rows(REPLY, [(c, 0, i, b) for c, i, b in zip(*(t[n].to_pylist() for n in ("chunk", "inner", "blob")))])
-    parts = [decode(b, 3) for b in t["blob"].to_pylist()]
-    chunk = np.repeat(t["chunk"].to_numpy(), [len(c[0]) for c, _ in parts])
-    pos = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c, _ in parts])
-    doc = np.concatenate([c[1] for c, _ in parts]).view(np.int64)
-    size = np.concatenate([c[2] for c, _ in parts]).astype(np.int64)
-    raw = np.frombuffer(b"".join(x for _, x in parts), np.uint8)
-    del parts
-    n_windows = size - LENGTH + 1
-    at = np.repeat(np.cumsum(size) - size - np.cumsum(n_windows) + n_windows, n_windows) + np.arange(int(n_windows.sum()))
-    # suffixes as seven big-endian words: their order is the byte order
-    padded = np.zeros((len(at), 56), np.uint8)
-    for k in range(LENGTH):
-        padded[:, k] = raw[at + k]
-    keys = padded.view(">u8").astype(np.uint64)
-    del padded
-    owner = np.repeat(np.arange(len(size)), n_windows)
-    order = np.lexsort((doc[owner], *keys.T[::-1]))
-    keys, owner = keys[order], owner[order]
-    offset = at[order] - (np.cumsum(size) - size)[owner]
-    same = np.concatenate([[False], (keys[1:] == keys[:-1]).all(1)])
-    del keys, order, at
-    near = same | np.concatenate([same[1:], [False]])  # suffixes without an equal neighbour have no match of full length
-    owner, offset, lcp = owner[near], offset[near], np.where(same[near], LENGTH, 0)
-    hit = longest_previous(doc[owner], lcp) >= LENGTH
-    mask = np.zeros(len(size), np.uint64)
-    np.bitwise_or.at(mask, owner[hit], _U(1) << offset[hit].astype(_U))
-    some = mask > 0
-    return _replies(bucket, 1, chunk[some], pos[some], mask[some])
+        return _rows(REPLY, [(c, 2 if i < 0 else 0, max(i, 0), b) for c, i, b in zip(*(t[n].to_pylist() for n in ("chunk", "inner", "blob")))])
+    parts = [decode(b, 3)[0] for b in t["blob"].to_pylist()]
+    sizes = [len(x[0]) for x in parts]
+    chunk = np.repeat(t["chunk"].to_numpy(), sizes)
+    pos = np.concatenate([np.arange(n) for n in sizes])
+    print_ = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts])
+    tag = np.concatenate([x[1] for x in parts])
+    doc = np.concatenate([x[2] for x in parts]).view(np.int64)
+    order = np.lexsort((doc, tag, print_))
+    p, g = print_[order], tag[order]
+    new = np.concatenate([[True], (p[1:] != p[:-1]) | (g[1:] != g[:-1])])
+    later = np.zeros(len(order), bool)
+    later[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+    return _replies(bucket, 1, chunk[later], pos[later])
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
 
 
-def _read(chunk: Chunk, t: pa.Table, kind: int, n_columns: int, shift: int) -> list[np.ndarray]:
-    """Positions among the chunk's distinct pairs, and the other columns, of the replies of one kind."""
+def _read(t: pa.Table, kind: int, n_columns: int, starts) -> list[np.ndarray]:
+    """Positions and the other columns of the replies of one kind; starts(buckets) is where each bucket begins."""
     own = t.filter(pa.compute.equal(t["kind"], kind)) if t.num_rows else t
     if not own.num_rows:
         return [np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * (n_columns - 1)]
-    starts = chunk.bucket_starts(own["bucket"].to_numpy(), shift)
     parts = [decode(b, n_columns)[0] for b in own["blob"].to_pylist()]
-    at = np.concatenate([np.cumsum(p[0]).astype(np.int64) + s for p, s in zip(parts, starts.tolist())])
+    at = np.concatenate([np.cumsum(p[0]).astype(np.int64) + s for p, s in zip(parts, starts(own["bucket"].to_numpy()).tolist())])
     return [at, *[np.concatenate([p[k] for p in parts]) for k in range(1, n_columns)]]
 
 
-def _covered(chunk: Chunk, t: pa.Table, shift: int) -> list[list[tuple[int, int]]]:
+def _wanted(chunk: Chunk, t: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of kind 0: positions, smallest documents, and the ascending positions that are looked at further."""
+    at, least, wanted = _read(t, 0, 3, lambda b: chunk.bucket_starts(b, 58 - bits))
+    return at, least.view(np.int64), np.sort(at[wanted > 0])
+
+
+def _covered(chunk: Chunk, t: pa.Table, bits: int) -> list[list[tuple[int, int]]]:
     """Covered byte intervals of each row."""
     low, mask = chunk.low.copy(), np.zeros(len(chunk.low), np.uint64)
-    at, least, _ = _read(chunk, t, 0, 3, shift)
-    low[at] = np.minimum(low[at], least.view(np.int64))
-    at, bits = _read(chunk, t, 1, 2, shift)
-    mask[at] = bits
+    at, least, wanted = _wanted(chunk, t, bits)
+    low[at] = np.minimum(low[at], least)
+    at, own = _read(t, 2, 2, np.zeros_like)
+    mask[at] = own
+    if len(wanted):
+        w = Windows(chunk, wanted)
+        later = np.zeros(len(w.class_print), bool)
+        later[_read(t, 1, 1, lambda b: np.searchsorted(_top(w.class_print, bits), b))[0]] = True
+        mask[wanted] |= w.masks(later[w.of], len(wanted))
     out: list[list[tuple[int, int]]] = [[] for _ in chunk.ids]
     whole = chunk.doc > low[chunk.of]
     for row, a, b in zip(chunk.row[whole].tolist(), chunk.first[whole].tolist(), chunk.last[whole].tolist()):
@@ -290,21 +346,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def contexts(key, t, replies):
         c, chunk = Chunk(t), key[0].as_py()
         rows = [(-1 - chunk, chunk, i, b) for i, b in zip(replies["bucket"].to_pylist(), replies["blob"].to_pylist())]
-        at, _, wanted = _read(c, replies, 0, 3, shift)
-        at = np.sort(at[wanted > 0])
-        bucket = (c.u1[at] >> _U(shift)).astype(np.int64)
-        for a, b in _slices(bucket):
-            own = at[a:b]
-            heads = c.head[own].tolist()
-            texts = [c.raw[int(c.row[i])][int(c.first[i]) : int(c.last[i]) + LENGTH].tobytes() for i in heads]
-            pos = own - c.bucket_starts(bucket[a : a + 1], shift)[0]
-            sizes = np.array([len(x) for x in texts], np.uint64)
-            rows.append((int(bucket[a]), chunk, 0, encode(_deltas(pos), c.low[own], sizes) + b"".join(texts)))
+        wanted = _wanted(c, replies, bits)[2]
+        if len(wanted):
+            w = Windows(c, wanted)
+            mask = w.masks(w.earlier_here(), len(wanted))
+            some = mask > 0
+            rows.append((-1 - chunk, chunk, -1, encode(_deltas(wanted[some]), mask[some])))
+            bucket = _top(w.class_print, bits)
+            below = w.class_print & _U((1 << (64 - bits)) - 1)
+            rows += [
+                (int(bucket[a]), chunk, 0, encode(_deltas(below[a:b]), w.class_tag[a:b], w.class_low[a:b])) for a, b in _slices(bucket)
+            ]
         return _rows(SENT, rows)
 
     def finish(key, t, replies):
         c = Chunk(t)
-        spans = [_union(x) for x in _covered(c, replies, shift)]
+        spans = [_union(x) for x in _covered(c, replies, bits)]
         kept = []
         for raw, own in zip(c.raw, spans):
             h, at = hashlib.sha256(), 0
@@ -327,7 +384,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = text.groupBy("chunk").applyInArrow(emit, SENT)
     first = sent.groupBy("bucket").applyInArrow(_reduce, REPLY)
     asked = text.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(contexts, SENT)
-    replies = asked.groupBy("bucket").applyInArrow(_match, REPLY)
+    replies = asked.groupBy("bucket").applyInArrow(_merge, REPLY)
     return text.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, OUT)
 
 
