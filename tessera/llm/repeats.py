@@ -40,6 +40,10 @@ REACH = LENGTH - GRAM + 1  # 32: a power of two, and window masks fit 32 bits
 #: Bytes of text in a chunk and chunks in a partition, on average; anchors in a bucket, on average.
 CHUNK_BYTES, CHUNKS_A_PART, BUCKET_ANCHORS = 4 << 20, 4, 150_000
 
+#: Corpus bytes from which fingerprints of windows are 80 bits, not 64.  About one window in twenty is fingerprinted,
+#: so 64 bits would hold a chance pair in 64 GiB once in four runs.
+TAG_FROM_BYTES = 1 << 36
+
 _U = np.uint64
 
 
@@ -96,7 +100,7 @@ class Chunk:
 class Windows:
     """All windows of one occurrence (in the smallest document) of each of some distinct contexts."""
 
-    def __init__(self, chunk: Chunk, at: np.ndarray):
+    def __init__(self, chunk: Chunk, at: np.ndarray, tag_mask: int):
         head = chunk.head[at]
         n = chunk.last[head] - chunk.first[head] + 1
         self.owner = np.repeat(np.arange(len(at)), n)
@@ -110,9 +114,9 @@ class Windows:
         total = np.concatenate(chunk.totals) if chunk.totals else np.zeros(0, _U)
         base = (np.cumsum(sizes) - sizes)[row] + start
         _, inverse = powers(int(sizes.max(initial=1)))
-        #: Fingerprint of each window: 64 bits of its bytes and 16 of its anchor.
+        #: Fingerprint of each window: 64 bits of its bytes and, under tag_mask, bits of its anchor.
         self.print = mix((total[base + LENGTH] - total[base]) * inverse[start])
-        self.tag = chunk.u1[at][self.owner] & _U(0xFFFF)
+        self.tag = chunk.u1[at][self.owner] & _U(tag_mask)
         order = np.lexsort((self.doc, self.tag, self.print))
         p, g, d = self.print[order], self.tag[order], self.doc[order]
         new = np.concatenate([[True], (p[1:] != p[:-1]) | (g[1:] != g[:-1])]) if len(p) else np.zeros(0, bool)
@@ -288,7 +292,7 @@ def _wanted(chunk: Chunk, t: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarra
     return at, least.view(np.int64), np.sort(at[wanted > 0])
 
 
-def _covered(chunk: Chunk, t: pa.Table, bits: int) -> list[list[tuple[int, int]]]:
+def _covered(chunk: Chunk, t: pa.Table, bits: int, tag_mask: int) -> list[list[tuple[int, int]]]:
     """Covered byte intervals of each row."""
     low, mask = chunk.low.copy(), np.zeros(len(chunk.low), np.uint64)
     at, least, wanted = _wanted(chunk, t, bits)
@@ -296,7 +300,7 @@ def _covered(chunk: Chunk, t: pa.Table, bits: int) -> list[list[tuple[int, int]]
     at, own = _read(t, 2, 2, np.zeros_like)
     mask[at] = own
     if len(wanted):
-        w = Windows(chunk, wanted)
+        w = Windows(chunk, wanted, tag_mask)
         later = np.zeros(len(w.class_print), bool)
         later[_read(t, 1, 1, lambda b: np.searchsorted(_top(w.class_print, bits), b))[0]] = True
         mask[wanted] |= w.masks(later[w.of], len(wanted))
@@ -335,6 +339,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n_chunks = max(1, -(-n_bytes // CHUNK_BYTES))
     bits = max(0, (n_bytes // 16 // BUCKET_ANCHORS).bit_length())
     shift = 58 - bits
+    tag_mask = 0xFFFF if n_bytes > TAG_FROM_BYTES else 0
     text = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks))).repartition(max(1, -(-n_chunks // CHUNKS_A_PART)), "chunk")
 
     def emit(key, t):
@@ -348,7 +353,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         rows = [(-1 - chunk, chunk, i, b) for i, b in zip(replies["bucket"].to_pylist(), replies["blob"].to_pylist())]
         wanted = _wanted(c, replies, bits)[2]
         if len(wanted):
-            w = Windows(c, wanted)
+            w = Windows(c, wanted, tag_mask)
             mask = w.masks(w.earlier_here(), len(wanted))
             some = mask > 0
             rows.append((-1 - chunk, chunk, -1, encode(_deltas(wanted[some]), mask[some])))
@@ -361,7 +366,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def finish(key, t, replies):
         c = Chunk(t)
-        spans = [_union(x) for x in _covered(c, replies, bits)]
+        spans = [_union(x) for x in _covered(c, replies, bits, tag_mask)]
         kept = []
         for raw, own in zip(c.raw, spans):
             h, at = hashlib.sha256(), 0
