@@ -118,8 +118,9 @@ def _brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk,bucket", [(4 << 20, 150_000), (3000, 300)])
-def test_repeats_equal_brute_force(spark, monkeypatch, chunk, bucket):
+@pytest.mark.parametrize("chunk,bucket,tag", [(4 << 20, 150_000, 1 << 36), (3000, 300, 0)])
+def test_repeats_equal_brute_force(spark, monkeypatch, chunk, bucket, tag):
+    monkeypatch.setattr(repeats, "TAG_FROM_BYTES", tag)
     monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(repeats, "BUCKET_ANCHORS", bucket)
     rnd = random.Random(6)
