@@ -45,8 +45,10 @@ def parse_schema(text: str) -> list[TableSpec]:
 
 @dataclass
 class _Entry:
-    spec: TableSpec
+    name: str
     load: Callable[[], DataFrame]
+    primary_key: str | None
+    schema: T.StructType | None  # looked up when it is asked for
 
 
 class Catalog:
@@ -56,8 +58,7 @@ class Catalog:
         self._tables: dict[str, _Entry] = {}
 
     def register(self, name: str, df: DataFrame | Callable[[], DataFrame], primary_key: str | None = None, schema: T.StructType | None = None) -> None:
-        load = df if callable(df) else lambda: df
-        self._tables[name] = _Entry(TableSpec(name, schema if schema is not None else load().schema, primary_key), load)
+        self._tables[name] = _Entry(name, df if callable(df) else lambda: df, primary_key, schema)
 
     def _get(self, name: str | None) -> _Entry:
         try:
@@ -66,7 +67,10 @@ class Catalog:
             raise AnalysisError(f"Unknown table {name}") from None
 
     def spec(self, name: str | None) -> TableSpec:
-        return self._get(name).spec
+        e = self._get(name)
+        if e.schema is None:
+            e.schema = e.load().schema
+        return TableSpec(e.name, e.schema, e.primary_key)
 
     def table(self, name: str | None) -> DataFrame:
         return self._get(name).load()

@@ -31,7 +31,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        self.__dict__[name] = df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return df
 
     def scratch(self) -> str:
         """A new folder that driver and executors share."""
@@ -40,7 +41,7 @@ class Tables:
     def engine(self, **options) -> Engine:
         out = Engine(self.spark, **options)
         for name, key in _KEYS.items():
-            out.register(name, getattr(self, name), key)
+            out.register(name, lambda name=name: getattr(self, name), key)
         return out
 
 
