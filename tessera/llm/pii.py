@@ -1,8 +1,8 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them.
 
-Base hits are seed entities.  Their neighbouring words and shape induce lexical patterns; Spark scores
-the graph of patterns and instances in rounds - a pattern by how many of its instances are known, an
-instance by the patterns that extract it - and confident patterns mark identifiers no base pattern finds.
+Base hits are seed entities.  The words around them induce lexical patterns, whatever the shape of the value;
+Spark scores the graph of patterns and instances in rounds - a pattern by how many of its instances are known,
+an instance by the patterns that extract it - and confident patterns mark identifiers no base pattern finds.
 """
 
 from __future__ import annotations
@@ -27,11 +27,18 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _digit = re.compile("[0-9]").search
 _not_digit = re.compile("[^0-9]+")
-#: What may be an identifier that the base misses: a run with five or more digits, hyphens and dots inside.
+_blank_digits = re.compile("[0-9]+").sub
+#: What may be an identifier that the base misses: a run with five or more digits, hyphens and dots inside;
+#: 7 to 19 digits with spaces and brackets; a quoted run with letters and digits; a name or host at an "@".
 _candidate = re.compile(r"(?<![0-9A-Za-z])[0-9A-Za-z](?:[.\x2d/_]?[0-9A-Za-z])*+").finditer
 _long_digits = re.compile(r"[0-9](?:[.\x2d/_]?[0-9]){4}").search
-_word_before = re.compile(r"([^\s0-9]+)\s*$").search
-_word_after = re.compile(r"\s*([^\s0-9]+)").match
+_spaced = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().-]{0,2}+[0-9])*+(?![0-9A-Za-z])").finditer
+_spacing = re.compile(r"[\x20()+]").search
+_quoted = re.compile(r"""(?<=["'])[^\s"']{6,128}+(?=["'])""").finditer
+_handle = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]*+@[A-Za-z0-9_-]{2,}+").finditer
+_letter = re.compile("[A-Za-z]").search
+#: A word that names the value after it: "badge: ", "token = ", "no. #".
+_label = re.compile(r"""([^\W\d_]+)\s?[:=#]\s?["']?$""").search
 CONTEXT_CHARS = 48
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -83,33 +90,63 @@ def render(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def _shape(value: str) -> str:
-    return re.sub(r"9+", lambda m: f"9{len(m[0])}", re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "9", value)))[:40]
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of possible identifiers that touch no base span, non-overlapping, sorted."""
+    spans: list[tuple[int, int]] = []
+    if '"' in text or "'" in text:
+        spans += [m.span() for m in _quoted(text) if _digit(m[0]) and _letter(m[0])]
+    if "@" in text:
+        spans += [m.span() for m in _handle(text)]
+    if _digit(text):
+        for m in _spaced(text):
+            if _spacing(m[0]) and 7 <= len(_not_digit.sub("", m[0])) <= 19:
+                spans.append(m.span())
+    if _long_digits(text):
+        spans += [m.span() for m in _candidate(text) if m.end() - m.start() >= 6 and _long_digits(m[0])]
+    spans.sort(key=lambda x: (x[0], -x[1]))
+    taken = sorted((s, e) for s, _, e in base)
+    out: list[tuple[int, int]] = []
+    k = done = 0
+    for s, e in spans:
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        if s >= done and not any(a < e and s < b for a, b in taken[k : k + 4]):
+            out.append((s, e))
+            done = e
+    return out
+
+
+def contexts(text: str, s: int, e: int) -> list[str]:
+    """The lexical patterns around text[s:e]: two words before, two after, one on each side, and a label before.
+
+    Words are of the value's own line, whose start and end count as one; a single word on one side says too little,
+    and so do marks without any letter.
+    """
+    before, after = text[max(0, s - CONTEXT_CHARS) : s], text[e : e + CONTEXT_CHARS]
+    head, tail = before.rpartition("\n")[2], after.partition("\n")[0]
+    left, right = _blank_digits("0", head).lower().split(), _blank_digits("0", tail).lower().split()
+    if len(head) < len(before) or s <= CONTEXT_CHARS:
+        left.insert(0, "^")
+    if len(tail) < len(after) or e + CONTEXT_CHARS >= len(text):
+        right.append("$")
+    out = []
+    if len(left) > 1:
+        out.append("<" + " ".join(left[-2:]))
+    if len(right) > 1:
+        out.append(">" + " ".join(right[:2]))
+    if left and right and (left[-1], right[0]) != ("^", "$"):
+        out.append(f"|{left[-1]} {right[0]}")
+    if m := _label(head):
+        out.append(":" + m[1].lower())
+    return [p for p in out if any(map(str.isalpha, p))]
 
 
 def edges(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, pattern, instance, seed) for the two neighbours of each seed and candidate."""
-    found = [(s, e, True) for s, _, e in base]
-    if _long_digits(text):
-        taken = sorted((s, e) for s, _, e in base)
-        k = 0
-        for m in _candidate(text):
-            s, e = m.span()
-            if e - s < 6 or not _long_digits(m[0]):
-                continue
-            while k < len(taken) and taken[k][1] <= s:
-                k += 1
-            if not any(a < e and s < b for a, b in taken[k : k + 4]):
-                found.append((s, e, False))
+    """(start, end, pattern, instance, seed) for the contexts of each seed and candidate."""
     out = []
-    for s, e, seed in found:
-        value = text[s:e]
-        shape = _shape(value)
-        instance = hashlib.md5(value.encode("utf-8", "surrogatepass")).hexdigest()
-        left, right = _word_before(text[max(0, s - CONTEXT_CHARS) : s]), _word_after(text[e : e + CONTEXT_CHARS])
-        for side, m in (("<", left), (">", right)):
-            if m:
-                out.append((s, e, f"{side}{shape}{side}{m[1].lower()}", instance, seed))
+    for s, e, seed in [(s, e, True) for s, _, e in base] + [(s, e, False) for s, e in candidates(text, base)]:
+        instance = hashlib.md5(text[s:e].encode("utf-8", "surrogatepass")).hexdigest()
+        out += [(s, e, pattern, instance, seed) for pattern in contexts(text, s, e)]
     return out
 
 
@@ -152,6 +189,9 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         found.select(F.explode("edges").alias("e")).groupBy(F.col("e.pattern").alias("pattern"), F.col("e.instance").alias("instance"))
         .agg(F.max("e.seed").alias("seed")), "pii-graph",
     )
+    # a pattern with fewer instances than its support can never count
+    frequent = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern")
+    graph = materialize(graph.join(frequent, "pattern", "left_semi"), "pii-frequent")
     known = graph.where("seed").select("instance").distinct()
     good = None
     for k in range(rounds):

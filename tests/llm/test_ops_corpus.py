@@ -271,6 +271,27 @@ def test_pii_finds_what_the_context_tells(spark):
     assert clean[100] == "please charge <ID> today thanks" and clean[0] == "please charge <CARD> today thanks" and clean[101] == rows[-1][1]
 
 
+def test_pii_learns_identifiers_of_other_shapes(spark):
+    """Contexts of mail addresses and phones mark values whose shape no seed has."""
+    rows = [(k, f"for help write to u{k}@mail{k}.example.org before noon", "en") for k in range(30)]
+    rows += [(100 + k, f"you may ring me on +1 (555) 010-{1000 + k} until late", "en") for k in range(30)]
+    rows += [(200 + k, f"contact: v{k}@mail.example.org", "en") for k in range(10)]
+    odd = [
+        (300, "for help write to ", "emp-48213-zz", " before noon"), (301, "you may ring me on ", "(555) 010 9999", " until late"),
+        (302, "for help write to ", "jane@intranet", " before noon"), (303, "his contact: '", "kJx7-Qw!p2", "' it says"),
+        (304, "you may ring me on ", "020 7946 0958", " from one"),
+    ]
+    rows += [(i, a + v + b, "en") for i, a, v, b in odd]
+    rows += [(500 + k, f"| a{k} | w{k}@mail.example.org | b{k} |", "en") for k in range(10)] + [(402, "| total | 48213-99172 | sum |", "en")]
+    rows += [(400, "part no 48213-99172 is out of stock", "en"), (401, "the total of (555) 010 9998 was wrong", "en")]
+    got = {r["doc_id"]: [(s["start"], s["end"], pii.KINDS[s["kind"]]) for s in r["spans"]] for r in pii.find(frame(spark, rows)).collect()}
+    for i, a, v, _ in odd:
+        assert got[i] == [(len(a), len(a) + len(v), "id")], i
+    assert got[400] == [] and got[401] == [] and got[402] == [] and all(len(got[k]) == 1 for k in range(30))
+    for piece in ("1 ", "(1", "'a1", "a@", "@", "+1 ", "1.("):
+        pii.edges(piece * 100_000, [])  # linear, or it would not return
+
+
 def test_pii_edge_cases(spark):
     df = frame(spark)
     got = pii.find(df).collect()
