@@ -22,9 +22,9 @@ from .graph import components
 from .words import mix, shingle_set
 
 SHINGLE = 5
-#: A pair at similarity 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS = 7e-9.
+#: A pair at similarity 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS = 7e-9; at 0.8 it is 3e-6.
 BANDS, ROWS = 32, 5
-#: Link if PERCENT_OF * intersection >= PERCENT * union.
+#: Link if 100 * intersection >= percent * union; this is the default.
 PERCENT = 85
 #: Documents and shingles of a comparison block, on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 500_000
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, T._parse_datatype_string(SIGNATURE))
 
 
-def _forest(ids: list[int], sets: list[np.ndarray], n_left: int | None) -> list[tuple[int, int]]:
+def _forest(ids: list[int], sets: list[np.ndarray], n_left: int | None, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets; with n_left, of those with one end among the first n_left."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -106,7 +106,7 @@ def _forest(ids: list[int], sets: list[np.ndarray], n_left: int | None) -> list[
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         shared = np.bincount(owner[at], minlength=len(sets))
-        for v in np.flatnonzero(100 * shared >= PERCENT * (sizes + sizes[u] - shared)):
+        for v in np.flatnonzero(100 * shared >= percent * (sizes + sizes[u] - shared)):
             a, b = root(u), root(int(v))
             if a != b:
                 parent[a] = b
@@ -117,7 +117,7 @@ def _forest(ids: list[int], sets: list[np.ndarray], n_left: int | None) -> list[
 LINKS = "a long, b long"
 
 
-def _compare(rows: DataFrame, sided: bool) -> DataFrame:
+def _compare(rows: DataFrame, sided: bool, percent: int) -> DataFrame:
     """Links inside each block: rows (block columns..., left, doc_id, shingles) grouped by all block columns."""
     import pyarrow as pa
 
@@ -129,7 +129,7 @@ def _compare(rows: DataFrame, sided: bool) -> DataFrame:
         found: list[tuple[int, int]] = []
         if t.num_rows > 1 and (not sided or n_left):
             sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in t["shingles"]]
-            found = _forest(t["doc_id"].to_pylist(), sets, n_left if sided else None)
+            found = _forest(t["doc_id"].to_pylist(), sets, n_left if sided else None, percent)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return rows.groupBy(*keys).applyInArrow(run, LINKS)
@@ -150,7 +150,7 @@ def _block(blocks, seed: int):
     return F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks)
 
 
-def near_links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
+def near_links(docs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified links (a, b) between class representatives that connect each near-duplicate component."""
     first = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("doc_id"))
     reps = materialize(
@@ -167,7 +167,7 @@ def near_links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     members = sized.select("doc_id", "grp").join(per, "grp")
     sets = materialize(_sets(docs, members), "mh-sets")
     inside = sets.select("grp", _block(F.col("blocks"), 1).alias("block"), F.lit(True).alias("left"), "doc_id", "shingles")
-    links = materialize(_compare(inside, sided=False), "mh-links-1")
+    links = materialize(_compare(inside, sided=False, percent=percent), "mh-links-1")
 
     # groups of several blocks: what is not in the largest component against every block
     wide = sets.where("blocks > 1")
@@ -194,11 +194,11 @@ def near_links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     right = full.select(
         "grp", everywhere("open_blocks").alias("i"), _block(F.col("blocks"), 1).alias("j"), F.lit(False).alias("left"), "doc_id", "shingles"
     )
-    across = _compare(left.unionByName(right), sided=True)
+    across = _compare(left.unionByName(right), sided=True, percent=percent)
     return links.unionByName(materialize(across.where("a <> b"), "mh-links-2"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document row.
 
     Documents without words (null or empty text) have n_shingles 0 and are linked with nothing.  A row
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     sigs = materialize(signatures(docs), "mh-signatures")
-    links = near_links(docs, sigs)
+    links = near_links(docs, sigs, percent)
     comp = components(links, "mh-final").withColumnRenamed("component", "over")
     classes = sigs.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select(
@@ -219,9 +219,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are the first of their component; of rows that share a doc_id, each stays."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

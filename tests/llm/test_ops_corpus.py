@@ -310,6 +310,17 @@ def test_pii_edge_cases(spark):
     assert pii.find(empty(spark)).collect() == [] and pii.redact(empty(spark)).collect() == []
 
 
+def test_pipeline_links_near_copies_from_80_percent(spark):
+    words = [f"w{k}" for k in range(100)]
+    changed = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    rows = [(1, changed(), "en"), (2, changed(30, 60), "en"), (3, changed(20, 50, 80), "en")]  # 86 of 106 and 81 of 111 shingles shared with 1
+    sets = {i: _shingles(t) for i, t, _ in rows}
+    assert 0.8 <= len(sets[1] & sets[2]) / len(sets[1] | sets[2]) < 0.85 and len(sets[1] & sets[3]) / len(sets[1] | sets[3]) < 0.8
+    df = frame(spark, rows)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in minhash.keep_first(df).collect()) == [1, 2, 3]
+
+
 def _kn(texts):
     """Interpolated modified Kneser-Ney from plain dictionaries: symbols -> probability function."""
     n, base = kneser.ORDER, kneser.BASE
