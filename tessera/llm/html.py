@@ -2,9 +2,9 @@
 
 A linear scanner cuts a page into text blocks and notes each block's words, stop words, link text and
 where it stands.  Pass one decides blocks: containers that are page furniture by element, class or role
-are boilerplate; blocks of an article or main element are content unless they are link lists; elsewhere
-length, stop-word density and link density decide or leave a block open.  Pass two gives open blocks the
-label of the nearest decided neighbours.
+are boilerplate; length, stop-word density and link density decide other blocks or leave them open, with
+lower thresholds in an article or main element and higher ones beside it.  Pass two gives open blocks the label
+of the nearest decided neighbours on the same side of that border; without any, the border decides.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def _furniture(name: str, attrs: str, in_article: bool) -> bool:
     """Whether a container is page furniture by its element, role, class, id or hidden state."""
     if name in FURNITURE or name == "header" and not in_article:
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "main"):
         return False
     for key, value in _class.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
@@ -81,7 +81,7 @@ def _furniture(name: str, attrs: str, in_article: bool) -> bool:
         elif key in ("class", "id"):
             for word in _split_class.split(value):
                 parts = word.split("-")
-                if word in VOID_FURNITURE or parts[0] in VOID_FURNITURE or parts[-1] in VOID_FURNITURE:
+                if word in VOID_FURNITURE or parts[0] in VOID_FURNITURE or name != "article" and parts[-1] in VOID_FURNITURE:
                     return True
                 if not in_article and (parts[0] == "header" or parts[-1] == "header" and parts[0] in ("site", "page", "top")):
                     return True
@@ -104,7 +104,7 @@ def blocks(page: str) -> list[Block]:
         if chunks:
             words = "".join(chunks).split()
             if words:
-                stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) if not art else 0
+                stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words)
                 out.append(Block(" ".join(words), len(words), stops, link_chars, art, heading > 0, listed > 0))
             chunks.clear()
         link_chars = brs = 0
@@ -203,33 +203,39 @@ def classify(found: list[Block]) -> list[bool]:
     for b in found:
         density = b.link_chars / max(1, len(b.text))
         stops = b.stops / max(1, b.words)
-        if b.in_article:
-            marks.append(BAD if b.listed and density > 0.9 and b.words < LONG_WORDS else GOOD)
-        elif has_article or density > MUCH_LINK:
+        if b.in_article:  # a prior for content
+            if density > 0.9 and b.listed and b.words < LONG_WORDS:
+                marks.append(BAD)
+            else:
+                marks.append(GOOD if b.words >= SHORT_WORDS and stops >= SOME_STOPS / 2 and density <= 0.9 else OPEN)
+        elif density > MUCH_LINK:
             marks.append(BAD)
+        elif has_article and b.words < LONG_WORDS:  # a prior against content
+            marks.append(OPEN)
         elif b.words >= LONG_WORDS:
             marks.append(GOOD if stops >= SOME_STOPS else OPEN)
         elif b.words >= SHORT_WORDS:
             marks.append(GOOD if stops >= MANY_STOPS else OPEN)
         else:
             marks.append(OPEN)
-    # (label, distance) of the nearest decided block on either side
-    far = (None, len(found) + 1)
-    before, near = [], far
-    for m in marks:
-        before.append(near)
-        near = (m, 1) if m != OPEN else (near[0], near[1] + 1)
-    after, near = [], far
-    for m in reversed(marks):
-        after.append(near)
-        near = (m, 1) if m != OPEN else (near[0], near[1] + 1)
-    after.reverse()
+    # (label, distance) of the nearest decided block before and after, among blocks of the same membership
+    def nearest(order):
+        out, last = [(None, len(found) + 1)] * len(found), {}
+        for k in order:
+            own = found[k].in_article
+            if own in last:
+                out[k] = (marks[last[own]], abs(k - last[own]))
+            if marks[k] != OPEN:
+                last[own] = k
+        return out
+
+    before, after = nearest(range(len(found))), nearest(reversed(range(len(found))))
     out = []
     for b, m, (left, back), (right, on) in zip(found, marks, before, after):
         if m == OPEN:
-            if left is None or right is None:  # nothing decided on one side, or at all: then it is content
+            if left is None or right is None:  # nothing decided on one side, or at all: then membership tells
                 m = left if right is None else right
-                m = GOOD if m is None else m
+                m = (GOOD if b.in_article or not has_article else BAD) if m is None else m
             elif b.heading:  # a heading belongs to what follows
                 m = right
             else:  # the nearer one; text goes on from what is before

@@ -189,6 +189,17 @@ def test_html_main_text():
         assert html.main_text(odd) == want, odd
 
 
+def test_html_article_is_a_prior():
+    text = "The cat sat on the mat and it was in the house with all of them for a day. " * 4
+    said = "I was there and it is not true that the cat was in the house on that day."
+    teaser = f"<div><h2>Head</h2><p>{text}</p><p>Yes.</p></div><article><a href=x>More of this</a></article>"
+    assert html.main_text(teaser).startswith("Head\n" + text.strip() + "\nYes.")
+    for attrs in ('class="comment"', 'id="comment-7"', "hidden", 'role="complementary"'):
+        assert html.main_text(f"<article><p>{text}</p></article><article {attrs}><p>{said}</p></article>") == text.strip(), attrs
+    assert html.main_text(f'<article class="post has-comments"><p>{text}</p></article>') == text.strip()
+    assert html.main_text(f"<p>Site of cats</p><article><p>{text}</p></article><p>All rights reserved</p>") == text.strip()
+
+
 @pytest.mark.parametrize("piece", ["<", "<p", "<!--", "<script>", "<p \"", "<div>", "</div>", "&amp", "<a href='", "<select>", "<b>x</b> "])
 def test_html_is_linear(piece):
     import time
