@@ -1,10 +1,13 @@
 """HTML main-text extraction by two-pass block rules.
 
-A linear scanner cuts a page into text blocks and notes each block's words, stop words, link text and
-where it stands.  Pass one decides blocks: containers that are page furniture by element, class or role
-are boilerplate; length, stop-word density and link density decide other blocks or leave them open, with
-lower thresholds in an article or main element and higher ones beside it.  Pass two gives open blocks the label
-of the nearest decided neighbours on the same side of that border; without any, the border decides.
+A linear scanner cuts a page into text blocks and notes each block's words, stop words, link text, where it
+stands and what its elements are called.  Elements that are page furniture by definition (nav, footer, form, a
+role, a hidden state) or by an unmistakable class word leave nothing.  Pass one decides blocks by length,
+stop-word density and link density, with lower thresholds in an article or main element, higher ones beside it
+and under a class word that is only a hint; runs of short links are menus, short legal and cookie phrases are
+notices.  Pass two gives the open ones the label of the nearest decided neighbours on the same side of the
+article's border; a heading goes with what follows it, and a line without a sentence's end at the edge of the
+content is none of it.  Without any decided block, the border decides.
 """
 
 from __future__ import annotations
@@ -28,12 +31,30 @@ CONTAINERS = frozenset(
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 li dt dd tr caption blockquote pre address hr figcaption summary legend thead tbody tfoot head".split()
 )
-VOID_FURNITURE = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios consent cookie "
-    "cookies disqus footer gdpr kommentare login masthead menu modal nav navbar navigation newsletter notice pagination popup "
-    "promo promoted reader-comments recommended related replies respond share sharing sidebar signup social sponsor sponsored "
-    "subscribe toolbar topbar widget".split()
+EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr td th".split())
+#: Class and id words of elements that are furniture whatever they hold.
+STRONG_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments comentarios consent cookie cookies disqus "
+    "footer gdpr kommentare login menu nav navbar navigation newsletter notice pagination popup promoted replies respond sidebar signup "
+    "sponsor sponsored subscribe".split()
 )
+#: Class and id words that only raise the thresholds.
+WEAK_WORDS = frozenset("banner masthead modal promo recommended related share sharing social toolbar topbar widget".split())
+#: Words that may stand beside those in a hyphenated class without changing what it means.
+NEUTRAL_WORDS = frozenset(
+    "area bar block bottom box button buttons container content form group icons inner item items left link links list main mobile outer "
+    "page panel post posts reader right row section site slot thread top unit user wrap wrapper".split()
+)
+#: Beginnings of short notices.
+NOTICES = (
+    "©", "(c) ", "copyright ", "all rights reserved", "we use cookies", "this site uses cookies", "this website uses cookies",
+    "we value your privacy", "accept cookies", "privacy policy", "terms of use", "terms of service", "advertisement", "sponsored",
+    "subscribe", "sign up", "log in", "follow us", "share this", "skip to ", "read more", "alle rechte vorbehalten", "wir verwenden cookies",
+    "anzeige", "tous droits réservés", "nous utilisons des cookies", "publicité", "todos los derechos reservados", "utilizamos cookies",
+    "publicidad",
+)
+#: Headings of lists of sources, whose short links are content.
+SOURCES = frozenset("references reference sources bibliography literature notes quellen literatur références sources bibliographie referencias fuentes".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -44,11 +65,14 @@ STOP_WORDS = frozenset(
     "sur un une vous al con como del el ella esta está fue ha hay las lo los más muy no o para pero por se si sin su sus también y".split()
 )
 LONG_WORDS, SHORT_WORDS, MANY_STOPS, SOME_STOPS, MUCH_LINK = 40, 8, 0.25, 0.12, 0.5
+#: A menu is a run of so many list items that are links of at most so many words; a notice has at most so many words.
+MENU_RUN, MENU_WORDS, NOTICE_WORDS = 3, 4, 25
 
 _tag = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""").match
 _class = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _ends = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
-_split_class = re.compile(r"[\s_]+")
+_parts = re.compile(r"[-_]+").split
+_ended = re.compile(r"""[.!?:;…。！？]["'”’»)\]]*$""").search
 
 
 @dataclass(slots=True)
@@ -60,40 +84,52 @@ class Block:
     in_article: bool
     heading: bool
     listed: bool
+    weak: bool = False
+
+
+def _named(word: str) -> int:
+    """What a class or id word says: 2 furniture, 1 perhaps, 0 nothing.  All parts of a compound must agree."""
+    if word in STRONG_WORDS:
+        return 2
+    if word in WEAK_WORDS:
+        return 1
+    parts = [x for x in _parts(word) if x and not x.isdigit()]
+    told = [2 if x in STRONG_WORDS else 1 if x in WEAK_WORDS else 0 for x in parts]
+    return max(told, default=0) if all(t or x in NEUTRAL_WORDS for t, x in zip(told, parts)) else 0
 
 
-def _furniture(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether a container is page furniture by its element, role, class, id or hidden state."""
+def _furniture(name: str, attrs: str, in_article: bool) -> int:
+    """Whether an element is page furniture (2), perhaps (1) or not (0), by its name, role, hidden state, class and id."""
     if name in FURNITURE or name == "header" and not in_article:
-        return True
+        return 2
     if not attrs or name in ("html", "body", "main"):
-        return False
+        return 0
+    out = 0
     for key, value in _class.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return 2
         if key == "role":
             if value in FURNITURE_ROLES and not (value == "banner" and in_article):
-                return True
+                return 2
         elif key == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
+                return 2
         elif key in ("class", "id"):
-            for word in _split_class.split(value):
-                parts = word.split("-")
-                if word in VOID_FURNITURE or parts[0] in VOID_FURNITURE or name != "article" and parts[-1] in VOID_FURNITURE:
-                    return True
-                if not in_article and (parts[0] == "header" or parts[-1] == "header" and parts[0] in ("site", "page", "top")):
-                    return True
-    return False
+            for word in value.split():
+                if not in_article and word in ("header", "site-header", "page-header", "top-header"):
+                    return 2
+                out = max(out, _named(word))
+    return out
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks outside scripts, styles and page furniture, in page order; linear in the page's length."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # container, furniture, article
+    stack: list[tuple[str, int, bool]] = []  # element, furniture, article: containers, and other elements that are furniture
+    open_: dict[str, int] = {}  # elements on the stack by name
     chunks: list[str] = []
-    off = art = False
+    off = art = weak = False
     link = heading = listed = 0
     link_chars = brs = 0
     at, n = 0, len(page)
@@ -105,10 +141,27 @@ def blocks(page: str) -> list[Block]:
             words = "".join(chunks).split()
             if words:
                 stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words)
-                out.append(Block(" ".join(words), len(words), stops, link_chars, art, heading > 0, listed > 0))
+                out.append(Block(" ".join(words), len(words), stops, link_chars, art, heading > 0, listed > 0, weak))
             chunks.clear()
         link_chars = brs = 0
 
+    def drop(k: int) -> None:
+        for x, _, _ in stack[k:]:
+            open_[x] -= 1
+        del stack[k:]
+
+    def close(name: str) -> None:
+        if open_.get(name):
+            k = len(stack) - 1
+            while stack[k][0] != name:
+                k -= 1
+            drop(k)
+
+    def push(name: str, told: int, article: bool) -> None:
+        _, up, up_art = stack[-1] if stack else ("", 0, False)
+        stack.append((name, max(up, told), up_art or article))
+        open_[name] = open_.get(name, 0) + 1
+
     while at < n:
         lt = page.find("<", at)
         end = n if lt < 0 else lt
@@ -153,14 +206,13 @@ def blocks(page: str) -> list[Block]:
                     else:
                         gone.add(name)
                 else:
-                    close = page.find(">", stop.end())
-                    at = n if close < 0 else close + 1
+                    over = page.find(">", stop.end())
+                    at = n if over < 0 else over + 1
             if not off:
                 chunks.append(" ")
             continue
         if name == "a":
             link = 0 if closing else 1
-            continue
         if name == "br":
             brs += 1
             if brs > 1:
@@ -173,19 +225,25 @@ def blocks(page: str) -> list[Block]:
                 chunks.append(" ")
             continue
         if name not in BLOCKS:
+            if closing:
+                close(name)
+            elif m[2] and name not in EMPTY and _furniture(name, m[2], art) > 1:
+                push(name, 2, False)
+            off = bool(stack) and stack[-1][1] > 1
             continue
         flush()
+        if closing:
+            close(name)
+        else:
+            while stack and stack[-1][0] not in CONTAINERS and (name != "p" or stack[-1][0][0] in "ph") and stack[-1][0] in BLOCKS:
+                drop(len(stack) - 1)  # a paragraph, heading or item ends where the next block begins
+            told = _furniture(name, m[2], art)
+            if name in CONTAINERS or told and name not in EMPTY:
+                push(name, told, name in ("article", "main"))
+        _, told, art = stack[-1] if stack else ("", 0, False)
+        off, weak = told > 1, told == 1
         if name in CONTAINERS:
-            if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            else:
-                _, up_off, up_art = stack[-1] if stack else ("", False, False)
-                stack.append((name, up_off or _furniture(name, m[2], up_art), up_art or name in ("article", "main")))
-            _, off, art = stack[-1] if stack else ("", False, False)
-            listed = any(s[0] in ("ul", "ol") for s in stack[-3:])
+            listed = any(x[0] in ("ul", "ol") for x in stack[-3:])
             link = 0
         elif name[0] == "h" and name[1:].isdigit():
             heading = 0 if closing else 1
@@ -196,51 +254,80 @@ def blocks(page: str) -> list[Block]:
 GOOD, BAD, OPEN = 1, 0, 2
 
 
-def classify(found: list[Block]) -> list[bool]:
-    """Which blocks are content: pass one decides or leaves open, pass two lets open ones inherit."""
+def first_pass(found: list[Block]) -> list[tuple[int, str]]:
+    """Label and rule of each block by its own figures; open where they do not tell."""
     has_article = any(b.in_article for b in found)
-    marks = []
+    out = []
     for b in found:
         density = b.link_chars / max(1, len(b.text))
         stops = b.stops / max(1, b.words)
-        if b.in_article:  # a prior for content
-            if density > 0.9 and b.listed and b.words < LONG_WORDS:
-                marks.append(BAD)
-            else:
-                marks.append(GOOD if b.words >= SHORT_WORDS and stops >= SOME_STOPS / 2 and density <= 0.9 else OPEN)
+        prose = b.words >= LONG_WORDS and stops >= MANY_STOPS and density < MUCH_LINK / 2
+        if b.weak and not prose:
+            out.append((BAD, "class hint"))
+        elif b.in_article:  # a prior for content
+            told = b.words >= SHORT_WORDS and stops >= SOME_STOPS / 2 and density <= 0.9
+            out.append((GOOD, "article prose") if told else (OPEN, ""))
         elif density > MUCH_LINK:
-            marks.append(BAD)
+            out.append((BAD, "link density"))
+        elif b.words <= NOTICE_WORDS and b.text.lower().startswith(NOTICES):
+            out.append((BAD, "notice"))
         elif has_article and b.words < LONG_WORDS:  # a prior against content
-            marks.append(OPEN)
-        elif b.words >= LONG_WORDS:
-            marks.append(GOOD if stops >= SOME_STOPS else OPEN)
-        elif b.words >= SHORT_WORDS:
-            marks.append(GOOD if stops >= MANY_STOPS else OPEN)
+            out.append((OPEN, ""))
+        elif b.words >= LONG_WORDS and stops >= SOME_STOPS:
+            out.append((GOOD, "long prose"))
+        elif b.words >= SHORT_WORDS and stops >= MANY_STOPS:
+            out.append((GOOD, "prose"))
         else:
-            marks.append(OPEN)
-    # (label, distance) of the nearest decided block before and after, among blocks of the same membership
+            out.append((OPEN, ""))
+    run: list[int] = []
+    for k, b in enumerate([*found, None]):  # menus inside articles; a list under a heading of sources is none
+        if b is not None and b.in_article and b.listed and b.words <= MENU_WORDS and b.link_chars > 0.9 * len(b.text):
+            run.append(k)
+            continue
+        if len(run) >= MENU_RUN:
+            head = found[run[0] - 1].text.lower().strip(" :.") if run[0] else ""
+            if head not in SOURCES:
+                for j in run:
+                    out[j] = (BAD, "menu")
+        run = []
+    return out
+
+
+def classify(found: list[Block]) -> list[tuple[bool, str]]:
+    """Whether each block is content, and the rule that told: pass one decides or leaves open, pass two lets open ones inherit."""
+    marks = first_pass(found)
+    has_article = any(b.in_article for b in found)
+    sides = {b.in_article for b, (m, _) in zip(found, marks) if m == GOOD}  # sides of the border with content
+
     def nearest(order):
+        """(label, distance) of the nearest decided block on this side, among blocks of the same membership."""
         out, last = [(None, len(found) + 1)] * len(found), {}
         for k in order:
             own = found[k].in_article
             if own in last:
-                out[k] = (marks[last[own]], abs(k - last[own]))
-            if marks[k] != OPEN:
+                out[k] = (marks[last[own]][0], abs(k - last[own]))
+            if marks[k][0] != OPEN and not (own and marks[k][0] == BAD):  # what an article holds besides prose tells of itself only
                 last[own] = k
         return out
 
     before, after = nearest(range(len(found))), nearest(reversed(range(len(found))))
     out = []
-    for b, m, (left, back), (right, on) in zip(found, marks, before, after):
+    for b, (m, rule), (left, back), (right, on) in zip(found, marks, before, after):
         if m == OPEN:
-            if left is None or right is None:  # nothing decided on one side, or at all: then membership tells
-                m = left if right is None else right
-                m = (GOOD if b.in_article or not has_article else BAD) if m is None else m
-            elif b.heading:  # a heading belongs to what follows
-                m = right
+            edge = b.in_article in sides and not b.in_article and b.words < SHORT_WORDS and not b.listed and not _ended(b.text)
+            if left is None and right is None:
+                m, rule = (GOOD if b.in_article or not has_article else BAD), "membership"
+            elif b.heading and not b.in_article:  # a heading belongs to what follows
+                m, rule = (right if right is not None else BAD), "heading"
+            elif edge and (left, right) != (GOOD, GOOD):
+                m, rule = BAD, "edge"
+            elif left is None or right is None:
+                m, rule = (left if right is None else right), "neighbour"
+            elif b.heading:
+                m, rule = right, "heading"
             else:  # the nearer one; text goes on from what is before
-                m = left if back <= on else right
-        out.append(m == GOOD)
+                m, rule = (left if back <= on else right), "neighbour"
+        out.append((m == GOOD, rule))
     return out
 
 
@@ -249,7 +336,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    return "\n".join(b.text for b, good in zip(found, classify(found)) if good)
+    return "\n".join(b.text for b, (good, _) in zip(found, classify(found)) if good)
 
 
 PAGE_TEXT = T.StructType(
