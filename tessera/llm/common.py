@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,8 @@ from ..sources.scratch import new_folder
 
 #: Rows that a Python kernel turns into Python strings at once.
 SLICE_ROWS = 256
+#: Bytes of text that a Python kernel turns into Python strings at once; a longer row comes alone.
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +37,20 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def byte_slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and bytes of strings; a longer row makes a slice of its own."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        done = total[at - 1] if at else 0
+        to = max(at + 1, min(at + rows, int(np.searchsorted(total, done + most, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[list[list]], list[tuple]]],
@@ -42,7 +60,7 @@ def map_rows(
     """Run a batch kernel over df through Arrow.
 
     ``make`` is called once a task and returns the kernel; the kernel gets the input columns as lists
-    (at most ``slice_rows`` rows) and returns output rows as tuples in schema order.
+    (at most ``slice_rows`` rows and ``SLICE_BYTES`` bytes of strings, a longer row alone) and returns output rows as tuples in schema order.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -52,8 +70,7 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for part in byte_slices(batch, slice_rows):
                 rows = kernel([c.to_pylist() for c in part.columns])
                 if rows:
                     yield pa.RecordBatch.from_arrays(
