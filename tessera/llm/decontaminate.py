@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 from .common import map_rows, table
-from .words import _VALUES, mix, powers
+from .words import powers, run_hashes
 
 #: Words of a seed, which is the least tile; items with fewer words are seeds as a whole.
 SEED = 5
@@ -35,16 +35,7 @@ _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 def words(text: str | None) -> np.ndarray:
     """Hash of each run of ASCII letters, digits and non-ASCII bytes, lower-cased: case and punctuation never hide a passage."""
     raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = _WORD_BYTE[raw]
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[raw] * power[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return run_hashes(raw, _WORD_BYTE[raw])[0]
 
 
 class Rolling:

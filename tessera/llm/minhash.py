@@ -1,13 +1,18 @@
 """MinHash near-dedup with min-max hashing.
 
 Under each hash function both the smallest and the largest value are kept, so a signature of 2K
-coordinates takes K evaluations.  Bands of the signature propose; full shingle sets decide.
+coordinates takes K evaluations.  Bands of the signature propose, sketches of one bit a coordinate
+discard what the estimate rules out, full shingle sets decide; only verified links are ever closed.
 
-Documents with equal sets form a class and are represented by its smallest doc_id.  Bands join classes
-into candidate groups (a star a bucket, never its pairs).  Candidates are compared exactly in blocks of
-bounded size: first each block within itself; then, in groups of several blocks, all documents outside
-the group's largest component against all blocks.  Documents that are already connected are never
-compared across blocks, and only a spanning forest of links leaves a block.
+Texts with equal sets form a class.  Classes that share a band key form a bucket (never its pairs):
+
+1. Each member is compared with its bucket's first one, once for all buckets that pair them.
+2. Verified links are closed into components.  Buckets whose members are all connected are done.
+3. In the others, members of different components are compared: first sketches, where a pair counts
+   in the first of its common bands only; then, among members with a likely partner, full sets.
+
+A bucket is dealt in blocks of bounded size; in one of several blocks, what is outside its largest
+component meets all blocks, and no pair rows leave a block, only members or a spanning forest of links.
 """
 
 from __future__ import annotations
@@ -22,19 +27,24 @@ from .graph import components
 from .words import mix, shingle_set
 
 SHINGLE = 5
-#: A pair at similarity 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS = 7e-9; at 0.8 it is 3e-6.
-BANDS, ROWS = 32, 5
+#: Hash functions; each gives two coordinates.
+FUNCTIONS = 160
+#: Probability that a pair right at the threshold shares no band, at most; rows a band are as many as it allows, so
+#: that pairs below the threshold seldom meet: 8 at 85 percent (40 bands, miss 3e-6), 7 at 80 (45 bands, 3e-5).
+MISS = 5e-5
+#: Standard deviations that a sketch's estimate may lie under the threshold (one-sided, 3e-7).
+SURE = 5.0
 #: Link if 100 * intersection >= percent * union; this is the default.
 PERCENT = 85
-#: Documents and shingles of a comparison block, on average.
+#: Classes of a comparison block on average; shingles of one.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 500_000
 
-_K = BANDS * ROWS // 2
+_K = FUNCTIONS
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 63, _K, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<bigint>"
+SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<bigint>, sketch array<bigint>"
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -54,19 +64,36 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 
 _ORDER = np.arange(2 * _K).reshape(2, _K).T.ravel()  # min and max of a function stand together, bands take neighbours
-_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    rows = sig[_ORDER].reshape(BANDS, ROWS)
-    h = _SALT.copy()
-    for k in range(ROWS):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and rows of a band, for a threshold."""
+    rows = max(r for r in range(1, 2 * _K + 1) if r == 1 or (1 - (percent / 100) ** r) ** (2 * _K // r) <= MISS)
+    return 2 * _K // rows, rows
+
+
+def least_equal_bits(percent: int) -> int:
+    """Equal bits of two sketches below which a pair at the threshold is SURE deviations off."""
+    p = (1 + percent / 100) / 2
+    return int(2 * _K * p - SURE * (2 * _K * p * (1 - p)) ** 0.5)
+
+
+def bands(sig: np.ndarray, n: int, rows: int) -> np.ndarray:
+    own = sig[_ORDER][: n * rows].reshape(n, rows)
+    h = mix(np.arange(1, n + 1, dtype=np.uint64))
+    for k in range(rows):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + own[:, k])
     return h.view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, set size, a 128-bit digest of the set, and band keys (none for an empty set)."""
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate, mixed."""
+    return np.packbits((mix(sig.copy()) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, set size, a 128-bit digest of the set, band keys and sketch (none for an empty set)."""
+    n, rows = banding(percent)
 
     def make():
         def kernel(cols):
@@ -75,9 +102,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = shingle_set(text, SHINGLE)
                 if len(s):
                     d = np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).view(np.int64)
-                    out.append((i, len(s), int(d[0]), int(d[1]), bands(signature(s)).tolist()))
+                    sig = signature(s)
+                    out.append((i, len(s), int(d[0]), int(d[1]), bands(sig, n, rows).tolist(), sketch(sig).tolist()))
                 else:
-                    out.append((i, 0, None, None, []))
+                    out.append((i, 0, None, None, [], []))
             return out
 
         return kernel
@@ -85,14 +113,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, T._parse_datatype_string(SIGNATURE))
 
 
-def _forest(ids: list[int], sets: list[np.ndarray], n_left: int | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets; with n_left, of those with one end among the first n_left."""
+def _forest(ids: list[int], of: list[int], sets: list[np.ndarray], n_left: int, within: bool, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between different components `of`; one end is among the first n_left sets, and
+    the other behind them, or also among them if within."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     every = np.concatenate(sets)
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
-    parent = list(range(len(sets)))
+    numbers = {c: k for k, c in enumerate(dict.fromkeys(of))}
+    parent = list(range(len(numbers)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -101,14 +131,14 @@ def _forest(ids: list[int], sets: list[np.ndarray], n_left: int | None, percent:
         return x
 
     out = []
-    for u in range(len(sets) if n_left is None else n_left):
+    for u in range(n_left):
         lo, hi = np.searchsorted(every, sets[u], "left"), np.searchsorted(every, sets[u], "right")
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         shared = np.bincount(owner[at], minlength=len(sets))
         for v in np.flatnonzero(100 * shared >= percent * (sizes + sizes[u] - shared)):
-            a, b = root(u), root(int(v))
-            if a != b:
+            a, b = root(numbers[of[u]]), root(numbers[of[v]])
+            if a != b and (within or v >= n_left):
                 parent[a] = b
                 out.append((ids[u], ids[int(v)]))
     return out
@@ -117,102 +147,160 @@ def _forest(ids: list[int], sets: list[np.ndarray], n_left: int | None, percent:
 LINKS = "a long, b long"
 
 
-def _compare(rows: DataFrame, sided: bool, percent: int) -> DataFrame:
-    """Links inside each block: rows (block columns..., left, doc_id, shingles) grouped by all block columns."""
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
+    """Links in each block (block columns..., left, c, comp, shingles) between its left and its other rows; among the
+    left ones where there are no others."""
     import pyarrow as pa
 
-    keys = [c for c in rows.columns if c not in ("left", "doc_id", "shingles")]
+    keys = [c for c in rows.columns if c not in ("left", "c", "comp", "shingles")]
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("left", "descending"), ("doc_id", "ascending")])
+        t = t.sort_by([("left", "descending"), ("c", "ascending")])
         n_left = sum(t["left"].to_pylist())
         found: list[tuple[int, int]] = []
-        if t.num_rows > 1 and (not sided or n_left):
+        if t.num_rows > 1 and n_left:
             sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in t["shingles"]]
-            found = _forest(t["doc_id"].to_pylist(), sets, n_left if sided else None, percent)
+            found = _forest(t["c"].to_pylist(), t["comp"].to_pylist(), sets, n_left, n_left == t.num_rows, percent)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return rows.groupBy(*keys).applyInArrow(run, LINKS)
 
 
-def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members (doc_id, grp, blocks) with the sorted shingle hashes of their texts."""
+def _likely(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, c) of members with a likely partner in another component of their block: sizes and sketches allow a link,
+    and the block's band is the first that both have in common.  Rows are (key, i, j, left, c, comp, n_shingles, bands, sketch)."""
+    import pyarrow as pa
+
+    least = least_equal_bits(percent)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("left", "descending"), ("c", "ascending")])
+        n_left, n = sum(t["left"].to_pylist()), t.num_rows
+        mark = np.zeros(n, bool)
+        if n > 1 and n_left:
+            key, comp, size = t["key"][0].as_py(), t["comp"].to_numpy(), t["n_shingles"].to_numpy()
+            wide = lambda name: np.stack([np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in t[name]])
+            keys, bits = wide("bands"), wide("sketch").view(np.uint64)
+            band = np.argmax(keys[0] == key)  # keys are salted by band
+            within = n_left == n
+            for u in range(n_left):
+                v = np.arange(u + 1, n) if within else np.arange(n_left, n)
+                v = v[(comp[v] != comp[u]) & (100 * np.minimum(size[v], size[u]) >= percent * np.maximum(size[v], size[u]))]
+                v = v[2 * _K - np.bitwise_count(bits[v] ^ bits[u]).sum(1, dtype=np.int64) >= least]
+                v = v[~(keys[v, :band] == keys[u, :band]).any(1)]
+                if len(v):
+                    mark[u] = mark[v] = True
+        return pa.table({"key": t["key"].filter(pa.array(mark)), "c": t["c"].filter(pa.array(mark))})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "key long, c long").distinct()
+
+
+def _dealt(rows: DataFrame, weight) -> DataFrame:
+    """Rows (key, c, comp, ...) of buckets in blocks (key, i, j, left, ...): a bucket of one block is compared within
+    itself; of several, the members outside the largest component (left) with all."""
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).groupBy("key").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("n_largest"),
+        F.ceil(F.greatest(F.sum("n") / BLOCK_DOCS, F.sum("w") / BLOCK_SHINGLES)).cast("long").alias("blocks"),
+    ).where("n_largest < n")
+    own = [x for x in rows.columns if x != "key"]
+    rows = rows.join(per, "key")
+    zero = F.lit(0).cast("long")
+    small = rows.where("blocks <= 1").select("key", zero.alias("i"), zero.alias("j"), F.lit(True).alias("left"), *own)
+    open_blocks = F.ceil((F.col("n") - F.col("n_largest")) / F.col("n") * F.col("blocks")).cast("long")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    block = lambda n, seed: F.pmod(F.xxhash64("c", F.lit(seed)), n)
+    wide = rows.where("blocks > 1")
+    left = wide.where("comp <> largest").select("key", block(open_blocks, 2).alias("i"), everywhere(F.col("blocks")).alias("j"), F.lit(True).alias("left"), *own)
+    right = wide.select("key", everywhere(open_blocks).alias("i"), block(F.col("blocks"), 1).alias("j"), F.lit(False).alias("left"), *own)
+    return small.unionByName(left).unionByName(right)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sorted shingle hashes of the classes wanted (c, doc_id, n_shingles, d1, d2), each from one text that has them."""
 
     def make():
-        return lambda cols: [(i, g, n, shingle_set(t, SHINGLE).view(np.int64)) for i, g, n, t in zip(*cols)]
+        def kernel(cols):
+            out = []
+            for c, n, d1, t in zip(*cols):
+                s = shingle_set(t, SHINGLE)  # (a doc_id may have several texts)
+                if len(s) == n and int(s.sum(dtype=np.uint64).view(np.int64)) == d1:
+                    out.append((c, s.view(np.int64)))
+            return out
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(members, "doc_id").select("doc_id", "grp", "blocks", "text")
-    schema = T._parse_datatype_string("doc_id long, grp long, blocks long, shingles array<bigint>")
-    return map_rows(rows, make, schema).dropDuplicates(["doc_id"])
+        return kernel
 
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("c", "doc_id", "n_shingles", "d1"), "doc_id")
+    rows = rows.select("c", "n_shingles", "d1", "text")
+    return map_rows(rows, make, T._parse_datatype_string("c long, shingles array<bigint>")).dropDuplicates(["c"])
 
-def _block(blocks, seed: int):
-    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks)
 
+def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Verified links (a, b) between classes that connect each near-duplicate component.
 
-def near_links(docs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Verified links (a, b) between class representatives that connect each near-duplicate component."""
-    first = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("doc_id"))
-    reps = materialize(
-        sigs.join(first.select("doc_id", "n_shingles", "d1", "d2"), ["doc_id", "n_shingles", "d1", "d2"], "left_semi").select("doc_id", "n_shingles", "bands"),
-        "mh-reps",
-    )
-    keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail").select("key", "head")
-    stars = keys.join(heads, "key").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(stars, "mh-candidates").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
-    sized = groups.join(reps.select("doc_id", "n_shingles"), "doc_id")
-    per = sized.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    per = per.select("grp", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    members = sized.select("doc_id", "grp").join(per, "grp")
-    sets = materialize(_sets(docs, members), "mh-sets")
-    inside = sets.select("grp", _block(F.col("blocks"), 1).alias("block"), F.lit(True).alias("left"), "doc_id", "shingles")
-    links = materialize(_compare(inside, sided=False, percent=percent), "mh-links-1")
-
-    # groups of several blocks: what is not in the largest component against every block
-    wide = sets.where("blocks > 1")
-    comp = components(links, "mh-inside")
-    own = wide.select("doc_id", "grp", "blocks").join(comp, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "grp", "blocks", F.coalesce("component", "doc_id").alias("component")
+    reps are the classes: c, doc_id, n_shingles, d1, d2, bands, sketch.
+    """
+    keys = reps.select("c", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("c").alias("head"), F.max("c").alias("tail")).where("head <> tail").select("key", "head")
+    keys = materialize(keys.join(shared, "key").select("key", "c", "head"), "mh-keys")
+
+    # 1. members with the first of their bucket
+    slim = reps.select("c", "n_shingles", "sketch")
+    first = slim.select(*[F.col(x).alias(f"h_{x}") for x in slim.columns])
+    stars = keys.where("c <> head").select("c", "head").distinct().join(slim, "c").join(first, F.col("head") == F.col("h_c"))
+    differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("h_sketch")[k])) for k in range(2 * _K // 64)), F.lit(0))
+    sizes = 100 * F.least("n_shingles", "h_n_shingles") >= percent * F.greatest("n_shingles", "h_n_shingles")
+    stars = materialize(stars.where(sizes & (2 * _K - differ >= least_equal_bits(percent))).select("c", "head", "n_shingles"), "mh-stars")
+    used = stars.select("c").union(stars.select("head")).distinct()
+    sets = materialize(_sets(docs, reps.join(used, "c", "left_semi")), "mh-sets")
+    per = stars.groupBy("head").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")
     )
-    largest = own.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n_all"), F.max("n").alias("n_largest")
+    members = stars.join(per, "head").select("head", F.pmod(F.xxhash64("c"), F.col("blocks")).alias("block"), "c").join(sets, "c")
+    heads = per.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(
+        sets.select(F.col("c").alias("head"), "shingles"), "head"
     )
-    placed = materialize(
-        own.join(largest, "grp").where("n_largest < n_all").select(
-            "doc_id", "grp", "blocks", (F.col("component") != F.col("largest")).alias("open"),
-            F.ceil((F.col("n_all") - F.col("n_largest")) / F.col("n_all") * F.col("blocks")).cast("long").alias("open_blocks"),
-        ), "mh-open",
-    )
-    if placed.isEmpty():
+    shape = lambda d, left, c: d.select("head", "block", F.lit(left).alias("left"), F.col(c).alias("c"), F.col(c).alias("comp"), "shingles")
+    links = materialize(_compare(shape(heads, True, "head").unionByName(shape(members, False, "c")), percent), "mh-links-1")
+
+    # 2. buckets with members that are not connected
+    comp = components(links, "mh-first")
+    placed = keys.join(comp, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("comp"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y and n > 2")
+    open_ = materialize(placed.join(split.select("key"), "key", "left_semi"), "mh-open")
+    if open_.isEmpty():
         return links
-    full = wide.select("doc_id", "shingles").join(placed, "doc_id")
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = full.where("open").select(
-        "grp", _block(F.col("open_blocks"), 2).alias("i"), everywhere("blocks").alias("j"), F.lit(True).alias("left"), "doc_id", "shingles"
-    )
-    right = full.select(
-        "grp", everywhere("open_blocks").alias("i"), _block(F.col("blocks"), 1).alias("j"), F.lit(False).alias("left"), "doc_id", "shingles"
-    )
-    across = _compare(left.unionByName(right), sided=True, percent=percent)
-    return links.unionByName(materialize(across.where("a <> b"), "mh-links-2"))
+
+    # 3. members of different components: sketches, then sets
+    likely = _likely(_dealt(open_.join(reps.select("c", "n_shingles", "bands", "sketch"), "c"), F.lit(0)), percent)
+    likely = materialize(likely.join(open_, ["key", "c"]), "mh-likely")
+    more = likely.select("c").distinct().join(sets.select("c"), "c", "left_anti")
+    sets = sets.unionByName(materialize(_sets(docs, reps.join(more, "c", "left_semi")), "mh-more-sets"))
+    full = likely.join(sets, "c").select("key", "c", "comp", "shingles")
+    return links.unionByName(materialize(_compare(_dealt(full, F.size("shingles")), percent), "mh-links-2"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document row.
 
     Documents without words (null or empty text) have n_shingles 0 and are linked with nothing.  A row
-    with null doc_id has a null component and is kept.  Rows that share a doc_id share a component.  An
-    empty table gives no rows; other columns are ignored.
+    with null doc_id has a null component and is kept.  Rows with words that share a doc_id share a component,
+    whatever their texts.  An empty table gives no rows; other columns are ignored.
     """
-    sigs = materialize(signatures(docs), "mh-signatures")
-    links = near_links(docs, sigs, percent)
-    comp = components(links, "mh-final").withColumnRenamed("component", "over")
-    classes = sigs.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(comp, F.col("rep") == F.col("node"), "left").select(
-        "n_shingles", "d1", "d2", F.coalesce("over", "rep").alias("over")
+    sigs = materialize(signatures(docs, percent), "mh-signatures")
+    digest = ["n_shingles", "d1", "d2"]
+    reps = sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
-    out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
+    reps = materialize(reps.withColumn("c", F.monotonically_increasing_id()), "mh-classes")
+    links = near_links(docs, reps, percent)
+    members = materialize(sigs.select("doc_id", *digest).join(reps.select("c", *digest), digest, "left").select("doc_id", "n_shingles", "c"), "mh-members")
+    named = members.where("c is not null and doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("doc_id", "x")
+    links = links.unionByName(named.join(several, "doc_id").where("c <> x").select(F.col("c").alias("a"), F.col("x").alias("b")))
+    comp = reps.select("c", "doc_id").join(components(links, "mh-final"), F.col("c") == F.col("node"), "left")
+    comp = materialize(comp.select("c", "doc_id", F.coalesce("component", "c").alias("root")), "mh-roots")
+    first = comp.groupBy("root").agg(F.min("doc_id").alias("over"))
+    out = members.join(comp.join(first, "root").select("c", "over"), "c", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("over", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")

@@ -35,19 +35,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_PLACES = [np.zeros(0, np.uint64)]
+
+
+def places(n: int) -> np.ndarray:
+    """A random weight for each of the first n bytes of a word.  Powers of one number would let words of alternating
+    letters cancel out modulo 2**64, whatever the number; unrelated weights leave nothing to cancel."""
+    if len(_PLACES[0]) < n:
+        _PLACES[0] = mix(mix(np.arange(1 << max(6, (n - 1).bit_length()), dtype=np.uint64) * _MULT + np.uint64(0x2545F4914F6CDD1D)))
+    return _PLACES[0][:n]
+
+
+def run_hashes(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of each maximal run of bytes that are inside."""
+    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(start):
+        return np.zeros(0, np.uint64), start, end
+    size = end - start
+    done = np.cumsum(size)
+    at = np.arange(done[-1])
+    own = at - np.repeat(done - size, size)  # place in the run
+    total = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(_VALUES[raw[inside]] * places(int(size.max()))[own], out=total[1:])
+    return mix(total[done] - total[done - size] + size.astype(np.uint64)), start, end
+
+
 def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte of each word ``[^\\x20\\x09-\\x0D]+`` of the A-Z-lower-cased text."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(raw):
-        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[raw]
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[_LOWER[raw]] * power[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start, end
+    return run_hashes(_LOWER[raw], ~_SPACE[raw])
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import graph, kneser, minhash, pii, repeats, rules
+from tessera.llm import decontaminate, graph, kneser, minhash, pii, repeats, rules
 from tessera.llm.words import shingle_set, word_hashes
 
 from .fixtures import DOCS, empty, frame
@@ -83,12 +83,61 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert minhash.near_duplicates(empty(spark)).collect() == []
 
 
+def test_rows_that_share_an_id_keep_all_links(spark):
+    a, b, c, d = (_variants(1, seed)[0] for seed in (21, 22, 23, 24))
+    z = " and one end more"
+    rows = [(5, a), (5, "q " + b), (7, a + z), (9, "q " + b + z), (12, a), (12, c), (13, c + z), (14, d), (14, d), (20, "")]
+    for parts in (1, 3, 7):
+        df = frame(spark, [(i, t, "en") for i, t in rows]).repartition(parts, "text")
+        got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
+        assert got == {(5, 5), (7, 5), (9, 5), (12, 5), (13, 5), (14, 14), (20, 20)}, (parts, got)
+
+
+def test_words_of_alternating_letters_differ():
+    x = "a"
+    while len(x) < 4096:
+        x += x.translate(str.maketrans("ab", "ba"))
+        y = x.translate(str.maketrans("ab", "ba"))
+        assert len(set(word_hashes(f"{x} {y}")[0].tolist())) == 2 == len(set(decontaminate.words(f"{x} {y}").tolist())), len(x)
+
+
+def test_buckets_of_half_alike_texts_stay_open_yet_cheap(spark, monkeypatch):
+    """A chain in which neighbours share about 60 percent: no links, and few members come to full comparison."""
+    words = [f"w{k}" for k in range(4000)]
+    rows = [(k, " ".join(words[25 * k : 25 * k + 100]), "en") for k in range(150)]
+    rows += [(1000 + k, t, "en") for k, t in enumerate(_variants(80, 6, base=120, edits=12))]
+    seen = []
+    plain = minhash._compare
+    monkeypatch.setattr(minhash, "_compare", lambda d, p: (seen.append(d.count()), plain(d, p))[1])
+    want = _near([(i, t) for i, t, _ in rows])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in want.items()}
+    assert sum(seen) < 40 * len(rows), seen
+
+
+def test_banding_and_sketches():
+    for percent in (80, 85):
+        n, rows = minhash.banding(percent)
+        assert n * rows <= 2 * minhash.FUNCTIONS and (1 - (percent / 100) ** rows) ** n <= minhash.MISS
+    rng = np.random.default_rng(5)
+    for shared in (0.5, 0.85):
+        equal = []
+        for _ in range(100):
+            x = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+            k = int(1000 * shared / (1 + shared))  # shared of the union when both have (k + 1000) / 2
+            one, two = x[: (1000 + k) // 2], x[(1000 - k) // 2 :]
+            bits = minhash.sketch(minhash.signature(one)) ^ minhash.sketch(minhash.signature(two))
+            equal.append(2 * minhash.FUNCTIONS - int(np.bitwise_count(bits.view(np.uint64)).sum()))
+        s = k / 1000
+        assert abs(np.mean(equal) / (2 * minhash.FUNCTIONS) - (1 + s) / 2) < 0.01
+
+
 def test_minmax_estimate_is_unbiased():
     rng, errors = np.random.default_rng(3), []
     for _ in range(60):
         x = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
         errors.append(minhash.estimate(minhash.signature(x[:250]), minhash.signature(x[50:])) - 200 / 300)
-    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
 def test_components_on_chains_stars_and_cycles(spark):
