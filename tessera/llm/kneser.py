@@ -1,8 +1,11 @@
 """Quality classifier: an interpolated modified Kneser-Ney model over characters.
 
 Counts of the trusted text, continuation counts, discounts and back-off weights are DataFrames keyed by
-n-gram, so every step of the fit is a combined aggregate or a join sharded by n-gram.  A document's
-perplexity is compared with a high quantile over trusted documents of its language and length band;
+n-gram, so every step of the fit is a combined aggregate or a join sharded by n-gram.  Scoring joins counts too:
+texts are dealt into chunks, each chunk sends its distinct n-grams once, their log probabilities are found by joins
+of the distinct n-grams of all chunks with the model, and come back to the chunks that hold them - so neither the
+model nor a document's n-grams are ever in one place, and a common n-gram counts once a chunk.  Log probabilities
+are whole multiples of 2**-24: their sums do not depend on any order.  A document's perplexity is compared with a high quantile over trusted documents of its language and length band;
 text less likely than that is rejected.  The quantiles come from trusted documents that the model was
 not fitted on, as seen ones look likelier than they are.
 """
@@ -15,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..ship import ship
-from .common import map_rows, materialize, table
+from .common import byte_slices, materialize, table
 
 ORDER = 5
-#: n-grams that are broadcast to the scoring tasks at most (16 bytes each); beyond, scoring joins by n-gram.
-BROADCAST_NGRAMS = 4_000_000
+#: Bytes of text in a chunk, on average; characters whose n-grams are held at once.
+CHUNK_BYTES, PIECE_CHARS = 16 << 20, 1 << 20
+#: Steps of a log probability to one.
+STEPS = 1 << 24
 #: Trusted ids that are broadcast at most; beyond, the trusted texts are found by a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: One in so many trusted documents, by a hash of its id, is held out of the counts and sets the thresholds.
@@ -61,19 +65,36 @@ def _symbols() -> np.ndarray:
 _LUT: list[np.ndarray] = []
 
 
-def keys_of(text: str) -> np.ndarray:
-    """The ORDER-gram key ending at each character."""
+def keys_of(text: str, before: str = "") -> np.ndarray:
+    """The ORDER-gram key ending at each character of text, which follows on the ORDER - 1 characters before (or the beginning)."""
     if not _LUT:
         _LUT.append(_symbols())
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    s = np.zeros(len(cp) + ORDER - 1, np.int64)
-    s[ORDER - 1 :] = _LUT[0][np.minimum(cp, 0xFFFF)]
+    cp = np.frombuffer((before + text).encode("utf-32-le", "surrogatepass"), "<u4")
+    pad = ORDER - 1 - len(before)
+    s = np.zeros(len(cp) + pad, np.int64)
+    s[pad:] = _LUT[0][np.minimum(cp, 0xFFFF)]
     out = s[ORDER - 1 :].copy()
     for k in range(1, ORDER):
         out += s[ORDER - 1 - k : len(s) - k] * BASE**k
     return out
 
 
+def pieces_of(text: str):
+    """The keys of a text of any length, some at a time."""
+    for at in range(0, len(text), PIECE_CHARS):
+        yield keys_of(text[at : at + PIECE_CHARS], text[max(0, at - ORDER + 1) : at])
+
+
+def _joined(texts):
+    """The keys of texts, of many short ones together."""
+    short = [keys_of(t) for t in texts if t and len(t) <= PIECE_CHARS]
+    if short:
+        yield np.concatenate(short)
+    for t in texts:
+        if t and len(t) > PIECE_CHARS:
+            yield from pieces_of(t)
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(key, n) of the ORDER-grams of all texts; each task sends a partial count once."""
 
@@ -88,10 +109,9 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             n_held = len(uniq)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                parts = [keys_of(t) for t in batch.column(0).slice(at, 128).to_pylist() if t]
-                if parts:
-                    held.append(np.unique(np.concatenate(parts), return_counts=True))
+            for part in byte_slices(batch, 128, PIECE_CHARS):
+                for keys in _joined(part.column(0).to_pylist()):
+                    held.append(np.unique(keys, return_counts=True))
                     n_held += len(held[-1][0])
                     if n_held > 3_000_000:
                         reduce()
@@ -118,9 +138,14 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
 
 
+def _steps(p):
+    """The logarithm in whole steps."""
+    return F.round(F.log(p) * STEPS).cast("long")
+
+
 def fit(trusted: DataFrame) -> DataFrame:
     """The model: (len, key, logp, logb) with the log probability of each n-gram and, where the n-gram is a
-    context, the log back-off weight (null if it is none).  Unigrams back off to a uniform distribution."""
+    context, the log back-off weight (null if it is none), in whole steps.  Unigrams back off to a uniform distribution."""
     counts = [materialize(count_ngrams(trusted), "kn-counts")]  # for len ORDER; then continuation counts
     for k in range(ORDER - 1, 0, -1):
         shorter = counts[-1].groupBy((F.col("key") % BASE**k).alias("key")).agg(F.count(F.lit(1)).alias("n"))
@@ -141,107 +166,85 @@ def fit(trusted: DataFrame) -> DataFrame:
             lower = prob.select(F.col("key").alias("low"), F.col("p").alias("q"))
             c = c.join(lower, "low").select("key", (F.col("p") + F.col("g") * F.col("q")).alias("p"))
         prob = materialize(c, f"kn-prob-{k}")
-        levels.append(prob.select(F.lit(k).alias("len"), "key", F.log("p").alias("logp")))
-        weights.append(h.select(F.lit(k - 1).alias("len"), F.col("h").alias("key"), F.log(gamma).alias("logb")))
-    out = weights[0].select("len", "key", F.lit(None).cast("double").alias("logp"), "logb")
+        levels.append(prob.select(F.lit(k).alias("len"), "key", _steps("p").alias("logp")))
+        weights.append(h.select(F.lit(k - 1).alias("len"), F.col("h").alias("key"), _steps(gamma).alias("logb")))
+    out = weights[0].select("len", "key", F.lit(None).cast("long").alias("logp"), "logb")
     for k in range(1, ORDER + 1):
         level = levels[k - 1]
         if k < ORDER:
             level = level.join(weights[k], ["len", "key"], "full")
         else:
-            level = level.withColumn("logb", F.lit(None).cast("double"))
+            level = level.withColumn("logb", F.lit(None).cast("long"))
         out = out.unionByName(level.select("len", "key", "logp", "logb"))
     return materialize(out, "kn-model")
 
 
-class Scorer:
-    """The model as sorted arrays by n-gram length."""
-
-    def __init__(self, rows):
-        self.tables = {}
-        for k in range(ORDER + 1):
-            at = rows["len"] == k
-            order = np.argsort(rows["key"][at], kind="stable")
-            self.tables[k] = (rows["key"][at][order], rows["logp"][at][order].astype(np.float32), rows["logb"][at][order].astype(np.float32))
-
-    def _find(self, k: int, keys: np.ndarray, column: int) -> np.ndarray:
-        known, *cols = self.tables[k]
-        if not len(known):
-            return np.full(len(keys), np.nan, np.float32)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, cols[column][at], np.nan)
-
-    def logp(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each ORDER-gram's last symbol, backing off where an n-gram is unseen."""
-        out = np.zeros(len(keys))
-        open_ = np.arange(len(keys))
-        for k in range(ORDER, 0, -1):
-            own = keys[open_] % BASE**k
-            p = self._find(k, own, 0)
-            hit = ~np.isnan(p)
-            out[open_[hit]] += p[hit]
-            open_ = open_[~hit]
-            if not len(open_):
-                return out
-            out[open_] += np.nan_to_num(self._find(k - 1, own[~hit] // BASE, 1))
-        out[open_] -= math.log(BASE)
-        return out
-
-
-SCORES = "doc_id long, lang string, n_symbols long, logp double"
-
-
-def _score_held(docs: DataFrame, model: DataFrame) -> DataFrame:
-    rows = model.toArrow()  # at most BROADCAST_NGRAMS rows
-    arrays = {c: rows[c].to_numpy() for c in rows.column_names}
-    held = docs.sparkSession.sparkContext.broadcast(arrays)
-
-    def make():
-        scorer = Scorer(held.value)
-
-        def kernel(cols):
-            keys = [keys_of(t or "") for t in cols[2]]
-            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            logp = scorer.logp(every)[inverse]
-            ends = np.cumsum([len(k) for k in keys])
-            sums = np.diff(np.concatenate([[0.0], np.cumsum(logp)])[np.concatenate([[0], ends])])
-            return [(i, lang, len(k), float(s)) for i, lang, k, s in zip(cols[0], cols[1], keys, sums)]
-
-        return kernel
-
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "lang", "text"), make, T._parse_datatype_string(SCORES), slice_rows=64)
-
-
-def _score_sharded(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same scores by joins on the n-grams, each document's n-grams counted beforehand."""
-
-    def make():
-        def kernel(cols):
-            out = []
-            for row, text in zip(*cols):
-                keys, n = np.unique(keys_of(text or ""), return_counts=True)
-                out += [(row, int(k), int(c)) for k, c in zip(keys, n)]
-            return out
-
-        return kernel
-
-    docs = materialize(docs.select(F.col("doc_id").cast("long"), "lang", "text").withColumn("row", F.monotonically_increasing_id()), "kn-docs")
-    grams = map_rows(docs.select("row", "text"), make, T._parse_datatype_string("row long, key long, n long"), slice_rows=64)
-    now = grams.select("row", "key", "n", F.lit(0.0).alias("sum"), F.lit(False).alias("done"))
+def backed_off(keys: DataFrame, model: DataFrame) -> DataFrame:
+    """(key, logp) of distinct ORDER-grams: the log probability of the last symbol, backing off where an n-gram is unseen.
+
+    One join a length; a shorter n-gram has at most BASE**2 of the keys, and n-grams of up to two symbols are so few that
+    they are broadcast.
+    """
+    now = keys.select("key", F.lit(0).cast("long").alias("sum"), F.lit(False).alias("done"))
+    few = lambda k, d: F.broadcast(d) if k <= 2 else d  # noqa: E731  (at most BASE**2 rows)
     for k in range(ORDER, 0, -1):
-        own = model.where(F.col("len") == k).select(F.col("key").alias("own"), "logp")
-        ctx = model.where(F.col("len") == k - 1).select(F.col("key").alias("ctx"), "logb")
+        own = few(k, model.where((F.col("len") == k) & F.col("logp").isNotNull()).select(F.col("key").alias("own"), "logp"))
+        ctx = few(k - 1, model.where((F.col("len") == k - 1) & F.col("logb").isNotNull()).select(F.col("key").alias("ctx"), "logb"))
         tail = F.col("key") % BASE**k
         now = now.join(own, ~F.col("done") & (tail == F.col("own")), "left").join(
             ctx, ~F.col("done") & F.col("logp").isNull() & ((tail / BASE).cast("long") == F.col("ctx")), "left"
         )
-        step = F.when(F.col("done"), 0.0).otherwise(F.coalesce("logp", F.coalesce("logb", F.lit(0.0))))
-        now = now.select("row", "key", "n", (F.col("sum") + step).alias("sum"), (F.col("done") | F.col("logp").isNotNull()).alias("done"))
-    rest = F.when(F.col("done"), 0.0).otherwise(-math.log(BASE))
-    total = now.groupBy("row").agg(F.sum("n").alias("n_symbols"), F.sum(F.col("n") * (F.col("sum") + rest)).alias("logp"))
-    return docs.select("doc_id", "lang", "row").join(total, "row", "left").select(
-        "doc_id", "lang", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("logp", F.lit(0.0)).alias("logp")
-    )
+        step = F.when(F.col("done"), 0).otherwise(F.coalesce("logp", F.coalesce("logb", F.lit(0))))
+        now = now.select("key", (F.col("sum") + step).alias("sum"), (F.col("done") | F.col("logp").isNotNull()).alias("done"))
+    rest = F.when(F.col("done"), 0).otherwise(round(-math.log(BASE) * STEPS))
+    return now.select("key", (F.col("sum") + rest).alias("logp"))
+
+
+SCORES = "doc_id long, lang string, n_symbols long, logp long"
+
+
+def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id, lang, number of symbols and log probability in steps of every document row.
+
+    The chunked text is one exchange, which both passes over it read.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_chunks = max(1, -(-n_bytes // CHUNK_BYTES))
+    text = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))).repartition(n_chunks, "chunk")
+
+    def emit(key, t):
+        held, n_held = [], 0
+        for batch in t.select(["text"]).to_batches():
+            for part in byte_slices(batch, 1 << 20, PIECE_CHARS):
+                for keys in _joined(part.column(0).to_pylist()):
+                    held.append(np.unique(keys))
+                    n_held += len(held[-1])
+                    if n_held > 4_000_000:
+                        held = [np.unique(np.concatenate(held))]
+                        n_held = 0
+        keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        return pa.table({"chunk": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "key": pa.array(keys)})
+
+    def finish(key, t, replies):
+        known, logp = replies["key"].to_numpy(), replies["logp"].to_numpy()
+        order = np.argsort(known)
+        known, logp = known[order], logp[order]
+        n, total = [], []
+        for batch in t.select(["text"]).to_batches():
+            for part in byte_slices(batch, 256, PIECE_CHARS):
+                for x in part.column(0).to_pylist():
+                    n.append(len(x or ""))
+                    total.append(sum(int(logp[np.searchsorted(known, k)].sum()) for k in pieces_of(x or "")))
+        return pa.table(
+            {"doc_id": t["doc_id"], "lang": t["lang"].cast(pa.string()), "n_symbols": pa.array(n, pa.int64()), "logp": pa.array(total, pa.int64())}
+        )
+
+    grams = materialize(text.groupBy("chunk").applyInArrow(emit, "chunk long, key long"), "kn-grams")
+    told = grams.join(materialize(backed_off(grams.select("key").distinct(), model), "kn-scored-grams"), "key").select("chunk", "key", "logp")
+    return text.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, SCORES)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -265,11 +268,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     one = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     trusted = docs.select(F.col("doc_id").cast("long"), "text").join(one.where("not held_out"), "doc_id", "left_semi")
     model = fit(trusted)
-    small = model.count() <= BROADCAST_NGRAMS
-    scores = materialize((_score_held if small else _score_sharded)(docs, model), "kn-scores")
+    scores = materialize(score(docs, model), "kn-scores")
     scores = scores.select(
         "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "n_symbols",
-        F.when(F.col("n_symbols") > 0, F.exp(-F.col("logp") / F.col("n_symbols"))).alias("perplexity"),
+        F.when(F.col("n_symbols") > 0, F.exp(-(F.col("logp") / STEPS) / F.col("n_symbols"))).alias("perplexity"),
         F.floor(F.log2(F.greatest("n_symbols", F.lit(1)))).cast("int").alias("band"),
     )
     good = scores.where("perplexity is not null").join(ids.where("held_out"), "doc_id", "left_semi")

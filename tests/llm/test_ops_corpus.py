@@ -468,14 +468,18 @@ def _kn(texts):
 def test_kneser_ney_equals_brute_force(spark, monkeypatch):
     train = [t for _, t, _ in DOCS if t and len(t) < 3000]
     model = kneser.fit(spark.createDataFrame([(t,) for t in train], "text string"))
-    rows = [(i, t, lang) for i, t, lang in DOCS if t is None or len(t) < 3000] + [(90, "unseen ZZZ ### 中文 text", "en")]
-    held = {(r["doc_id"], r["n_symbols"]): r["logp"] for r in kneser._score_held(frame(spark, rows), model).collect()}
-    shard = {(r["doc_id"], r["n_symbols"]): r["logp"] for r in kneser._score_sharded(frame(spark, rows), model).collect()}
+    rows = [(i, t, lang) for i, t, lang in DOCS] + [(90, "unseen ZZZ ### 中文 text", "en"), (91, "a fox jumps. " * 9000, "en")]
+    told = []
+    for chunk, piece in ((16 << 20, 1 << 20), (1000, 7), (20_000, 3000)):
+        monkeypatch.setattr(kneser, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(kneser, "PIECE_CHARS", piece)
+        told.append({(r["doc_id"], r["lang"], r["n_symbols"]): r["logp"] for r in kneser.score(frame(spark, rows), model).collect()})
+    assert told[0] == told[1] == told[2]  # to the last bit
+    assert kneser.score(frame(spark, rows), model).count() == len(rows)
     brute = _kn(train)
-    for i, t, _ in rows:
-        want = brute(t or "")
-        assert held[(i, len(t or ""))] == pytest.approx(want, rel=1e-4, abs=1e-4)
-        assert shard[(i, len(t or ""))] == pytest.approx(want, rel=1e-6, abs=1e-6)
+    for i, t, lang in rows:
+        n = len(t or "")
+        assert told[0][(i, lang, n)] / kneser.STEPS == pytest.approx(brute(t or ""), rel=1e-6, abs=1e-6 + n * 6e-7)
 
 
 def test_classifier_on_labelled_documents(spark, sf):
@@ -496,6 +500,26 @@ def test_classifier_edge_cases(spark):
     assert kneser.classify(empty(spark), some).collect() == []
 
 
+def test_quantiles_and_verdicts_equal_plain_version(spark, sf):
+    """Thresholds by language and length band, and verdicts, from the scores by plain Python."""
+    docs, labels = (spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    out = kneser.classify(docs, labels).toPandas()
+    ids = kneser.trusted_ids(labels).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(kneser.HELD_OUT)) == 0).where("h").toPandas().doc_id
+    out["band"] = [int(math.log2(max(n, 1))) for n in out.n_symbols]
+    held = out[out.doc_id.isin(ids) & out.perplexity.notna()]
+
+    def most(rows):
+        x = sorted(rows.perplexity)
+        return (kneser.SLACK + kneser.FEW / math.sqrt(len(x))) * x[max(0, math.ceil((1 - kneser.TAIL) * len(x)) - 1)]
+
+    for r in out.itertuples():
+        for rows, least in ((held[(held.lang == r.lang) & (held.band == r.band)], kneser.BAND_DOCS), (held[held.lang == r.lang], kneser.BAND_DOCS), (held, 1)):
+            if len(rows) >= least:
+                assert r.threshold == pytest.approx(most(rows), rel=1e-9)
+                break
+        assert r.kept == (r.perplexity <= r.threshold)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     rnd = random.Random(12)
     vocab = ["the", "of", "and", "to", "in"] + ["".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(rnd.randrange(3, 9))) for _ in range(150)]
