@@ -40,9 +40,9 @@ REACH = LENGTH - GRAM + 1  # 32: a power of two, and window masks fit 32 bits
 #: Bytes of text in a chunk and chunks in a partition, on average; anchors in a bucket, on average.
 CHUNK_BYTES, CHUNKS_A_PART, BUCKET_ANCHORS = 4 << 20, 4, 150_000
 
-#: Corpus bytes from which fingerprints of windows are 80 bits, not 64.  About one window in twenty is fingerprinted,
-#: so 64 bits would hold a chance pair in 64 GiB once in four runs.
-TAG_FROM_BYTES = 1 << 36
+#: Corpus bytes from which fingerprints of windows are 96 bits, not 64.  About one window in twenty is fingerprinted,
+#: so a chance pair is in 1 GiB once in ten thousand runs at 64 bits, and in 100 TB once in five thousand at 96.
+TAG_FROM_BYTES = 1 << 30
 
 _U = np.uint64
 
@@ -68,7 +68,8 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, ...]:
     context = (total[last + LENGTH] - total[first]) * inverse[first]
     shape = ((at[first] - first) * 64 + last - first).astype(_U)
     h2 = mix(context + mix(shape + _U(1))) >> _U(24)
-    return key[first] >> _U(6), h2, first, last, total
+    # (a smallest hash is small: mixed again, so that buckets by its first bits are even)
+    return mix(key[first] >> _U(6)) >> _U(6), h2, first, last, total
 
 
 class Chunk:
@@ -339,8 +340,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n_chunks = max(1, -(-n_bytes // CHUNK_BYTES))
     bits = max(0, (n_bytes // 16 // BUCKET_ANCHORS).bit_length())
     shift = 58 - bits
-    tag_mask = 0xFFFF if n_bytes > TAG_FROM_BYTES else 0
-    text = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks))).repartition(max(1, -(-n_chunks // CHUNKS_A_PART)), "chunk")
+    tag_mask = 0xFFFFFFFF if n_bytes > TAG_FROM_BYTES else 0
+    text = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))).repartition(max(1, -(-n_chunks // CHUNKS_A_PART)), "chunk")
 
     def emit(key, t):
         c, chunk = Chunk(t), key[0].as_py()
