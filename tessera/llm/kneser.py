@@ -2,7 +2,7 @@
 
 Counts of the trusted text, continuation counts, discounts and back-off weights are DataFrames keyed by
 n-gram, so every step of the fit is a combined aggregate or a join sharded by n-gram.  Scoring joins counts too:
-texts are dealt into chunks, each chunk sends its distinct n-grams once, their log probabilities are found by joins
+texts are packed into chunks (one compressed byte a character), each chunk sends its distinct n-grams once, their log probabilities are found by joins
 of the distinct n-grams of all chunks with the model, and come back to the chunks that hold them - so neither the
 model nor a document's n-grams are ever in one place, and a common n-gram counts once a chunk.  Log probabilities
 are whole multiples of 2**-24: their sums do not depend on any order.  A document's perplexity is compared with a high quantile over trusted documents of its language and length band;
@@ -23,8 +23,8 @@ from ..ship import ship
 from .common import byte_slices, materialize, table
 
 ORDER = 5
-#: Bytes of text in a chunk, on average; characters whose n-grams are held at once.
-CHUNK_BYTES, PIECE_CHARS = 16 << 20, 1 << 20
+#: Characters of a chunk (a longer text is a chunk of its own); characters whose n-grams are held at once.
+CHUNK_CHARS, PIECE_CHARS = 32 << 20, 1 << 20
 #: Steps of a log probability to one.
 STEPS = 1 << 24
 #: Trusted ids that are broadcast at most; beyond, the trusted texts are found by a shuffled join.
@@ -65,24 +65,34 @@ def _symbols() -> np.ndarray:
 _LUT: list[np.ndarray] = []
 
 
-def keys_of(text: str, before: str = "") -> np.ndarray:
-    """The ORDER-gram key ending at each character of text, which follows on the ORDER - 1 characters before (or the beginning)."""
+def symbols_of(text: str) -> np.ndarray:
+    """The symbol of each character."""
     if not _LUT:
         _LUT.append(_symbols())
-    cp = np.frombuffer((before + text).encode("utf-32-le", "surrogatepass"), "<u4")
-    pad = ORDER - 1 - len(before)
-    s = np.zeros(len(cp) + pad, np.int64)
-    s[pad:] = _LUT[0][np.minimum(cp, 0xFFFF)]
+    return _LUT[0][np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 0xFFFF)]
+
+
+def _keys(s: np.ndarray) -> np.ndarray:
+    """The ORDER-gram key ending at each symbol but the first ORDER - 1."""
+    s = s.astype(np.int64)
     out = s[ORDER - 1 :].copy()
     for k in range(1, ORDER):
         out += s[ORDER - 1 - k : len(s) - k] * BASE**k
     return out
 
 
-def pieces_of(text: str):
-    """The keys of a text of any length, some at a time."""
-    for at in range(0, len(text), PIECE_CHARS):
-        yield keys_of(text[at : at + PIECE_CHARS], text[max(0, at - ORDER + 1) : at])
+_PAD = np.zeros(ORDER - 1, np.uint8)
+
+
+def keys_of(text: str) -> np.ndarray:
+    """The ORDER-gram key ending at each character."""
+    return _keys(np.concatenate([_PAD, symbols_of(text)]))
+
+
+def pieces_of(symbols: np.ndarray):
+    """(start, keys) of a stream of symbols of any length, some at a time; it begins with ORDER - 1 pads."""
+    for at in range(ORDER - 1, len(symbols), PIECE_CHARS):
+        yield at, _keys(symbols[at - ORDER + 1 : at + PIECE_CHARS])
 
 
 def _joined(texts):
@@ -92,7 +102,7 @@ def _joined(texts):
         yield np.concatenate(short)
     for t in texts:
         if t and len(t) > PIECE_CHARS:
-            yield from pieces_of(t)
+            yield from (keys for _, keys in pieces_of(np.concatenate([_PAD, symbols_of(t)])))
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -200,51 +210,92 @@ def backed_off(keys: DataFrame, model: DataFrame) -> DataFrame:
     return now.select("key", (F.col("sum") + rest).alias("logp"))
 
 
+PACKED = "chunk long, doc_id array<bigint>, lang array<string>, n array<bigint>, body binary"
 SCORES = "doc_id long, lang string, n_symbols long, logp long"
 
 
+def _pack(batches):
+    """Rows (doc_id, lang, text) as chunks: the symbols of all texts, each behind ORDER - 1 pads, compressed."""
+    from pyspark import TaskContext
+
+    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("body", pa.binary())])
+    chunk = TaskContext.get().partitionId() << 32
+    ids, langs, parts, size = [], [], [], 0
+
+    def flush():
+        body = np.concatenate([x for p in parts for x in (_PAD, p)])
+        packed = len(body).to_bytes(8, "little") + pa.compress(body.tobytes(), codec="zstd", asbytes=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x], f.type) for x, f in zip((chunk, ids, langs, [len(p) for p in parts], packed), schema)], schema=schema
+        )
+
+    for batch in batches:
+        for part in byte_slices(batch):
+            for i, lang, text in zip(*(c.to_pylist() for c in part.columns)):
+                own = symbols_of(text or "")
+                if parts and size + len(own) > CHUNK_CHARS:
+                    yield flush()
+                    ids, langs, parts, size, chunk = [], [], [], 0, chunk + 1
+                ids.append(i)
+                langs.append(lang)
+                parts.append(own)
+                size += len(own)
+    if parts:
+        yield flush()
+
+
+def _unpack(body: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+
+
+def _ngrams(batches):
+    """Each chunk's distinct n-grams, a piece's first pass at a time."""
+    for batch in batches:
+        for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body")):
+            symbols, held, n_held = _unpack(body.as_py()), [], 0
+            for at, keys in pieces_of(symbols):
+                held.append(np.unique(keys[symbols[at : at + PIECE_CHARS] > 0]))
+                n_held += len(held[-1])
+                if n_held > 4 * PIECE_CHARS:
+                    held, n_held = [np.unique(np.concatenate(held))], 0
+            keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk, np.int64)), pa.array(keys)], names=["chunk", "key"])
+
+
+def _sums(key, packed, told):
+    """Scores of a chunk's texts from its n-grams' log probabilities."""
+    known, logp = told["key"].to_numpy(), told["logp"].to_numpy()
+    order = np.argsort(known)
+    known, logp = known[order], logp[order]
+    out = {"doc_id": [], "lang": [], "n_symbols": [], "logp": []}
+    for row in packed.to_pylist():
+        symbols = _unpack(row["body"])
+        each = np.zeros(len(symbols), np.int32)  # (a log probability is above -100)
+        for at, keys in pieces_of(symbols):
+            real = np.flatnonzero(symbols[at : at + PIECE_CHARS])
+            each[at + real] = logp[np.searchsorted(known, keys[real])]
+        at = 0
+        for n in row["n"]:
+            at += ORDER - 1
+            out["logp"].append(int(each[at : at + n].sum(dtype=np.int64)))
+            at += n
+        out["doc_id"] += row["doc_id"]
+        out["lang"] += row["lang"]
+        out["n_symbols"] += row["n"]
+    kinds = {"lang": pa.string()}
+    return pa.table({name: pa.array(v, kinds.get(name, pa.int64())) for name, v in out.items()})
+
+
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, lang, number of symbols and log probability in steps of every document row.
 
-    The chunked text is one exchange, which both passes over it read.
+    One plan: the packed chunks are one exchange and their n-grams another, each read twice.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text")
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks = max(1, -(-n_bytes // CHUNK_BYTES))
-    text = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))).repartition(n_chunks, "chunk")
-
-    def emit(key, t):
-        held, n_held = [], 0
-        for batch in t.select(["text"]).to_batches():
-            for part in byte_slices(batch, 1 << 20, PIECE_CHARS):
-                for keys in _joined(part.column(0).to_pylist()):
-                    held.append(np.unique(keys))
-                    n_held += len(held[-1])
-                    if n_held > 4_000_000:
-                        held = [np.unique(np.concatenate(held))]
-                        n_held = 0
-        keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-        return pa.table({"chunk": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "key": pa.array(keys)})
-
-    def finish(key, t, replies):
-        known, logp = replies["key"].to_numpy(), replies["logp"].to_numpy()
-        order = np.argsort(known)
-        known, logp = known[order], logp[order]
-        n, total = [], []
-        for batch in t.select(["text"]).to_batches():
-            for part in byte_slices(batch, 256, PIECE_CHARS):
-                for x in part.column(0).to_pylist():
-                    n.append(len(x or ""))
-                    total.append(sum(int(logp[np.searchsorted(known, k)].sum()) for k in pieces_of(x or "")))
-        return pa.table(
-            {"doc_id": t["doc_id"], "lang": t["lang"].cast(pa.string()), "n_symbols": pa.array(n, pa.int64()), "logp": pa.array(total, pa.int64())}
-        )
-
-    grams = materialize(text.groupBy("chunk").applyInArrow(emit, "chunk long, key long"), "kn-grams")
-    told = grams.join(materialize(backed_off(grams.select("key").distinct(), model), "kn-scored-grams"), "key").select("chunk", "key", "logp")
-    return text.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, SCORES)
+    ship(docs.sparkSession)
+    packed = docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(_pack, PACKED).repartition("chunk")
+    grams = packed.select("chunk", "body").mapInArrow(_ngrams, "chunk long, key long").repartition("key")
+    told = grams.join(backed_off(grams.select("key").distinct(), model), "key").select("chunk", "key", "logp")
+    return packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_sums, SCORES)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

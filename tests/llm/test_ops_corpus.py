@@ -470,8 +470,8 @@ def test_kneser_ney_equals_brute_force(spark, monkeypatch):
     model = kneser.fit(spark.createDataFrame([(t,) for t in train], "text string"))
     rows = [(i, t, lang) for i, t, lang in DOCS] + [(90, "unseen ZZZ ### 中文 text", "en"), (91, "a fox jumps. " * 9000, "en")]
     told = []
-    for chunk, piece in ((16 << 20, 1 << 20), (1000, 7), (20_000, 3000)):
-        monkeypatch.setattr(kneser, "CHUNK_BYTES", chunk)
+    for chunk, piece in ((32 << 20, 1 << 20), (1000, 700), (20_000, 3000)):
+        monkeypatch.setattr(kneser, "CHUNK_CHARS", chunk)
         monkeypatch.setattr(kneser, "PIECE_CHARS", piece)
         told.append({(r["doc_id"], r["lang"], r["n_symbols"]): r["logp"] for r in kneser.score(frame(spark, rows), model).collect()})
     assert told[0] == told[1] == told[2]  # to the last bit
