@@ -14,7 +14,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .errors import TesseraError
-from .session import Engine, show
+from .session import Engine, lines
+from .plans.sqlparse import split_statements, take_statements
 from .sources.heap import convert, read_heap
 from .types import schema_of
 
@@ -28,7 +29,8 @@ def _statement(engine: Engine, text: str, explain: bool) -> None:
     try:
         if explain and text.lstrip().lower().startswith("select"):
             print(engine.explain(text))
-        print(show(engine.sql(text)))
+        for line in lines(engine.sql(text)):
+            print(line)
         print(f"{time.time() - began:.2f} seconds")
     except TesseraError as e:
         print(f"{type(e).__name__}: {e}")
@@ -45,7 +47,8 @@ def main(args: list[str]) -> int:
         print(f"{n} rows")
     elif command == "print":
         df = read_heap(_spark(), rest[0], schema_of([(f"f{k}", "int") for k in range(int(rest[1]))]))
-        print(show(df))
+        for line in lines(df):
+            print(line)
     elif command == "parser":
         explain = "-explain" in rest
         option = lambda name: rest[rest.index(name) + 1] if name in rest else None
@@ -53,20 +56,16 @@ def main(args: list[str]) -> int:
         engine.load_schema(Path(rest[0]).read_text(), str(Path(rest[0]).resolve().parent))
         engine.analyze()
         if option("-f"):
-            from .plans.sqlparse import split_statements
-
             for s in split_statements(Path(option("-f")).read_text()):
                 _statement(engine, s, explain)
             return 0
         held = ""
         for line in sys.stdin:
-            held += line
-            while ";" in held:
-                text, held = held.split(";", 1)
-                if text.strip().lower() in ("quit", "exit"):
+            statements, held = take_statements(held + line)
+            for text in statements:
+                if text.lower() in ("quit", "exit"):
                     return 0
-                if text.strip():
-                    _statement(engine, text, explain)
+                _statement(engine, text, explain)
     else:
         print(__doc__)
         return 1

@@ -13,14 +13,15 @@ from pyspark.sql import types as T
 
 from .. import operators as R
 from ..functions.predicates import JoinPredicate, Op, Predicate
+from ..errors import TransactionAborted
 from ..session import Engine
 from ..ship import ship
-from ..sources.heap import read_heap, write_heap
+from ..sources.heap import convert, read_heap, write_heap
 from ..sources.scratch import new_folder
 from ..sources.snapshot import Database
 from ..sources.sorted_table import index_scan, write_sorted
 from ..streaming import running_by_row
-from .join_order import Input, JoinNode, order_joins
+from .join_order import Input, JoinNode, join_cost, join_rows, order_joins
 from .stats import TableStats, histogram
 
 
@@ -251,6 +252,66 @@ def _order(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(k, j.left, j.right) for k, j in enumerate(found, 1)], "step long, outer_alias string, inner_alias string")
 
 
+def _orders_stats(t: Tables) -> TableStats:
+    return TableStats(t.orders.select("o_orderkey", "o_custkey"))
+
+
+@_query("estimate_scan_cost", "SELECT CAST(ceil(count(*) * 16 / 4096.0) * 1000 AS BIGINT) AS cost, CAST(floor(count(*) * 0.3) AS BIGINT) AS rows_at_30_percent FROM orders")
+def _scan_cost(t: Tables) -> DataFrame:
+    s = _orders_stats(t)
+    return t.spark.createDataFrame([(int(s.scan_cost()), s.cardinality(0.3))], "cost long, rows_at_30_percent long")
+
+
+_SEL = [("=", 25), ("<>", 25), ("<", 25), ("<=", 25), (">", 25), (">=", 25), ("<", 0), (">", 0)]
+
+
+@_query(
+    "estimate_selectivity",
+    " UNION ALL ".join(f"SELECT '{o} {v}' AS predicate, round(avg(CASE WHEN p_size {o} {v} THEN 1.0 ELSE 0.0 END), 6) AS selectivity FROM part" for o, v in _SEL),
+)
+def _selectivity(t: Tables) -> DataFrame:
+    """With 100 buckets for sizes of 1 to 50 each value has a bucket of its own, so estimates are exact."""
+    s = TableStats(t.part.select("p_size"))
+    return t.spark.createDataFrame([(f"{o} {v}", round(s.selectivity("p_size", Op.parse(o), v), 6)) for o, v in _SEL], "predicate string, selectivity double")
+
+
+@_query("estimate_average_selectivity", "SELECT 1.0 / count(DISTINCT n_regionkey) AS selectivity FROM nation")
+def _average(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(TableStats(t.nation).average_selectivity("n_regionkey"),)], "selectivity double")
+
+
+_CARDS = {
+    "equality on a key": ("o", JoinNode("o", "o_custkey", Op.EQ, "c", "c_custkey")), "equality without key": ("greatest(o, c)", JoinNode("o", "x", Op.EQ, "c", "y")),
+    "range": ("CAST(floor(0.3 * o * c) AS BIGINT)", JoinNode("o", "x", Op.LT, "c", "y")), "inequality": ("o * c - greatest(o, c)", JoinNode("o", "x", Op.NE, "c", "y")),
+}
+
+
+@_query(
+    "estimate_join_cardinality",
+    " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST({sql} AS BIGINT) AS n_rows FROM (SELECT count(*) o FROM orders) a, (SELECT count(*) c FROM customer) b" for k, (sql, _) in _CARDS.items()),
+)
+def _join_cards(t: Tables) -> DataFrame:
+    n = [TableStats(d).n_rows for d in (t.orders.select("o_custkey"), t.customer.select("c_custkey"))]
+    return t.spark.createDataFrame([(k, join_rows(j, *n, False, j.right_column == "c_custkey")) for k, (_, j) in _CARDS.items()], "kind string, n_rows long")
+
+
+_PAIR_COST = "ceil({0} * {1} / 4096.0) * 1000"
+
+
+@_query(
+    "estimate_join_cost",
+    "SELECT CAST(oc + o * cc + o * c AS BIGINT) AS orders_outside, CAST(cc + c * oc + o * c AS BIGINT) AS customer_outside, "
+    "CASE WHEN oc + o * cc <= cc + c * oc THEN 'o' ELSE 'c' END AS outer_alias "
+    f"FROM (SELECT count(*) o, {_PAIR_COST.format('count(*)', 16)} oc FROM orders) a, (SELECT count(*) c, {_PAIR_COST.format('count(*)', 8)} cc FROM customer) b",
+)
+def _join_costs(t: Tables) -> DataFrame:
+    o, c = _orders_stats(t), TableStats(t.customer.select("c_custkey"))
+    node = JoinNode("o", "o_custkey", Op.EQ, "c", "c_custkey")
+    costs = join_cost(node, o.n_rows, c.n_rows, o.scan_cost(), c.scan_cost()), join_cost(node.swapped(), c.n_rows, o.n_rows, c.scan_cost(), o.scan_cost())
+    first = order_joins([node], {"o": Input(o.scan_cost(), o.n_rows), "c": Input(c.scan_cost(), c.n_rows, "c_custkey")})[0].left
+    return t.spark.createDataFrame([(*map(int, costs), first)], "orders_outside long, customer_outside long, outer_alias string")
+
+
 # key-clustered tables
 def _clustered(t: Tables) -> str:
     path = t.scratch()
@@ -260,7 +321,7 @@ def _clustered(t: Tables) -> str:
 
 for _name, _op, _v, _sql in (
     ("index_range_scan", ">=", 9000, "o_orderkey >= 9000"), ("index_eq_scan", "=", 77, "o_orderkey = 77"), ("index_lt_scan", "<", 500, "o_orderkey < 500"),
-    ("index_neq_scan", "<>", 500, "o_orderkey <> 500"),
+    ("index_neq_scan", "<>", 500, "o_orderkey <> 500"), ("index_gt_scan", ">", 9000, "o_orderkey > 9000"), ("index_le_scan", "<=", 500, "o_orderkey <= 500"),
 ):
     _plain(_name, f"SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE {_sql}",
            lambda t, o=_op, v=_v: index_scan(t.spark, _clustered(t), "o_orderkey", Op.parse(o), v))
@@ -268,7 +329,23 @@ _plain("index_full_scan", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orde
        lambda t: index_scan(t.spark, _clustered(t), "o_orderkey", ordered=True))
 
 
+@_query("index_like_scan", "SELECT p_name, p_partkey FROM part WHERE contains(p_name, 'anvil')")
+def _index_like(t: Tables) -> DataFrame:
+    path = t.scratch()
+    write_sorted(t.part.select("p_name", "p_partkey"), path, "p_name")
+    return index_scan(t.spark, path, "p_name", Op.LIKE, "anvil")
+
+
 # heap files
+@_query("convert_text", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation")
+def _convert(t: Tables) -> DataFrame:
+    text, heap = t.scratch(), t.scratch()
+    t.nation.select(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey")).write.text(text)
+    schema = T._parse_datatype_string("k int, name string, r int")
+    convert(t.spark, text, heap, schema, "|")
+    return read_heap(t.spark, heap, schema)
+
+
 @_query("heap_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def _heap(t: Tables) -> DataFrame:
     path = t.scratch()
@@ -324,6 +401,43 @@ def _commit(t: Tables) -> DataFrame:
     return e.database.table("nations")
 
 
+@_query("txn_isolation", "SELECT 'seen' AS what, CAST(count(*) AS BIGINT) AS n FROM nation UNION ALL SELECT 'latest', count(*) + 1 FROM nation")
+def _isolation(t: Tables) -> DataFrame:
+    """An open transaction keeps seeing what was committed when it began."""
+    db = _database(t)
+    early = db.begin()
+    Engine(t.spark, db).sql("INSERT INTO nations VALUES (100, 'in', 7)")
+    count = lambda what, d: d.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    return count("seen", db.table("nations", early)).unionByName(count("latest", db.table("nations")))
+
+
+@_query("txn_conflict_aborts", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation UNION ALL SELECT 100, 'first', 7")
+def _conflict(t: Tables) -> DataFrame:
+    """Of two transactions that change a table, the one that commits second is aborted and leaves nothing."""
+    db = _database(t)
+    engines = [Engine(t.spark, db) for _ in range(2)]
+    for k, e in enumerate(engines):
+        e.sql("SET TRANSACTION READ WRITE")
+        e.sql(f"INSERT INTO nations VALUES ({100 + k}, '{('first', 'second')[k]}', 7)")
+    engines[0].sql("COMMIT")
+    try:
+        engines[1].sql("COMMIT")
+    except TransactionAborted:
+        return db.table("nations")
+    raise AssertionError("the second commit went through")
+
+
+@_query("txn_recovery", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation UNION ALL SELECT 100, 'in', 7")
+def _recovery(t: Tables) -> DataFrame:
+    """A new session over the folder sees what was committed and nothing of a transaction that was lost."""
+    db = _database(t)
+    Engine(t.spark, db).sql("INSERT INTO nations VALUES (100, 'in', 7)")
+    lost = Engine(t.spark, db)
+    lost.sql("SET TRANSACTION READ WRITE")
+    lost.sql("INSERT INTO nations VALUES (101, 'lost', 7)")
+    return Database(t.spark, db.root).table("nations")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return _flagship(Tables(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -45,22 +47,37 @@ class Store:
     def create(self, path: str, text: str, claim_seconds: int = 60) -> bool:
         """Write a new file; False if another writer was first.  The text is complete before the name appears.
 
-        A writer claims the name with an exclusive create; a claim older than claim_seconds without its file
-        is left over from a lost writer and is taken away.
+        A writer claims the name by an exclusive create of a file with a token of its own; a claim older than
+        claim_seconds without its file is left over from a lost writer and is taken away.  The text is written
+        under a name no other writer uses, and appears by a rename only while the claim still has the writer's token and
+        the name is free; what then stands under the name decides who was first.
         """
+        token = uuid.uuid4().hex
         claim = self._path(f"{path}.claim")
         if self._fs.exists(claim) and not self.exists(path):
             age = self._sc._jvm.java.lang.System.currentTimeMillis() - self._fs.getFileStatus(claim).getModificationTime()
             if age > 1000 * claim_seconds:
                 self._fs.delete(claim, False)
         try:
-            self._fs.create(claim, False).close()
+            self._write(claim, token)
         except Exception:  # the name is taken
             return False
-        staged = self._path(f"{path}.tmp")
-        out = self._fs.create(staged, True)
+        staged = self._path(f"{path}.{token}.tmp")
+        self._write(staged, text)
+        if not self._owns(claim, token) or self.exists(path) or not self._fs.rename(staged, self._path(path)):
+            self._fs.delete(staged, False)
+            return False
+        return self._owns(claim, token) and self.read(path) == text
+
+    def _write(self, path, text: str) -> None:
+        out = self._fs.create(path, False)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return self._fs.rename(staged, self._path(path))
+
+    def _owns(self, claim, token: str) -> bool:
+        try:
+            return self.read(claim.toString()) == token
+        except Exception:  # taken away meanwhile
+            return False

@@ -55,7 +55,7 @@ def decode_pages(data: bytes, schema: T.StructType, page_bytes: int = PAGE_BYTES
     for k, f in enumerate(schema):
         v = rows[f"f{k}"]
         if kind_of(f.dataType) == "int":
-            out[f.name] = pa.array(v.astype(np.int32))
+            out[f.name] = pa.array(v.astype(np.int64 if isinstance(f.dataType, T.LongType) else np.int32))
         else:
             out[f.name] = pa.array([x[:m].decode("utf-8", "replace") for x, m in zip(v.tolist(), rows[f"n{k}"].tolist())], pa.string())
     return pa.table(out)
@@ -74,7 +74,10 @@ def encode_pages(frame: pd.DataFrame, schema: T.StructType, page_bytes: int = PA
         if v.isna().any():
             raise SchemaError(f"{f.name} has a null; heap pages cannot hold one")
         if kind_of(f.dataType) == "int":
-            rows[f"f{k}"] = v.to_numpy(np.int64).astype(np.int32)
+            wide = v.to_numpy(np.int64)
+            if len(wide) and (wide.min() < -(1 << 31) or wide.max() >= 1 << 31):
+                raise SchemaError(f"{f.name} has an integer of more than 32 bits; heap pages cannot hold one")
+            rows[f"f{k}"] = wide.astype(np.int32)
         else:
             raw = [_cut(x) for x in v]
             rows[f"n{k}"] = [len(x) for x in raw]
@@ -165,12 +168,26 @@ def write_heap(df: DataFrame, path: str, page_bytes: int = PAGE_BYTES) -> int:
     def run(frames):
         import uuid
 
-        frames = [f for f in frames if len(f)]
-        n = sum(len(f) for f in frames)
+        n, out, held = 0, None, None  # held: the rows of a page that is not full yet
+        per = max(1, slots(schema, page_bytes))
+        try:
+            for f in frames:
+                if not len(f):
+                    continue
+                if out is None:
+                    fs, inner = _open(f"{root}/part-{uuid.uuid4().hex}.dat")
+                    out = fs.open_output_stream(inner)
+                n += len(f)
+                held = f if held is None else pd.concat([held, f])
+                full = len(held) // per * per
+                out.write(encode_pages(held.iloc[:full], schema, page_bytes))
+                held = held.iloc[full:]
+            if out is not None:
+                out.write(encode_pages(held, schema, page_bytes))
+        finally:
+            if out is not None:
+                out.close()
         if n:
-            fs, inner = _open(f"{root}/part-{uuid.uuid4().hex}.dat")
-            with fs.open_output_stream(inner) as out:
-                out.write(encode_pages(pd.concat(frames), schema, page_bytes))
             yield pd.DataFrame({"file": [inner.rsplit("/", 1)[1]], "n": [n]})
 
     done = df.mapInPandas(run, "file string, n long").collect()  # a row a task

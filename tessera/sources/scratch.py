@@ -10,10 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set (tests on one machine), a local temporary one."""
+    """The folder of spark.checkpoint.dir; where none is set, the warehouse, or with a local master a temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
+        local = spark.sparkContext.master.startswith("local")
+        base = tempfile.mkdtemp(prefix="tessera-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 

@@ -29,10 +29,28 @@ def index_scan(spark: SparkSession, path: str, key: str, op: Op | None = None, v
 
 
 def is_sorted(spark: SparkSession, path: str, key: str) -> bool:
-    """Whether no two files overlap in keys (but for a shared border): the clustering invariant."""
+    """The clustering invariant: rows ascend inside every file, and no two files overlap in keys (but for a shared border).
+
+    Each task reads its rows in file order and reports runs (file, first row, ends, whether ascending); rows are not shuffled.
+    """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    ends = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.min(named(key)).alias("lo"), F.max(named(key)).alias("hi"))
+    df = spark.read.parquet(path)
+    kind = dict(df.dtypes)[key]
+
+    def run(frames):
+        import pandas as pd
+
+        for t in frames:
+            for f, own in t.groupby("f", sort=False):
+                yield pd.DataFrame(
+                    {"f": [f], "at": [own["at"].iloc[0]], "lo": [own["k"].iloc[0]], "hi": [own["k"].iloc[-1]], "up": [bool(own["k"].is_monotonic_increasing)]}
+                )
+
+    rows = df.where(named(key).isNotNull()).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("at"), named(key).alias("k"))
+    runs = rows.mapInPandas(run, f"f string, at long, lo {kind}, hi {kind}, up boolean")
+    runs = runs.withColumn("prev", F.lag("hi").over(Window.partitionBy("f").orderBy("at")))  # a row a batch
+    ends = runs.groupBy("f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.col("up") & F.coalesce(F.col("prev") <= F.col("lo"), F.lit(True))).alias("up"))
     before = F.max("hi").over(Window.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
-    return ends.select("lo", before.alias("prev")).where("prev > lo").isEmpty()
+    return ends.select("up", "lo", before.alias("prev")).where("not up or prev > lo").isEmpty()
