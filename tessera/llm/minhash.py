@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are the first of their component; of rows that share a doc_id, each stays."""
     gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

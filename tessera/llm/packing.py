@@ -4,12 +4,14 @@ The pieces' lengths form a histogram of at most ``capacity`` counts, whatever th
 plan is made on counts: the largest length first, its gap filled exactly by one length, a pair or a
 triple of lengths looked up among the available ones, each combination consumed as often as its
 availability allows; what finds no exact partner goes by best fit, again count-wise.  Every step
-exhausts a length or a group of equal sequences, so the plan has O(capacity) groups.  Pieces then find
+exhausts a length or a group of equal sequences, so the plan has O(capacity) groups.  Best fit alone is planned as
+well, and the plan with fewer sequences is taken.  Pieces then find
 their place by (length, rank) - no shuffle by length, hence no hot length.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import defaultdict
 
@@ -105,8 +107,48 @@ class _Stock:
         return times
 
 
+def best_fit(left: list[tuple[int, int]], capacity: int) -> list[tuple[int, list[int]]]:
+    """Groups for (length, count) by falling length: each goes into the open sequences with the least room that suffices."""
+    open_at: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
+    rooms: list[int] = []  # ascending, those of open_at that are not empty
+    for length, count in left:
+        while count:
+            k = bisect.bisect_left(rooms, length)
+            if k == len(rooms):
+                each = min(capacity // length, count)
+                times = count // each
+                room, inside, used = capacity, [], times
+                count -= times * each
+                put = [length] * each
+            else:
+                room = rooms[k]
+                have, inside = open_at[room].pop()
+                used, put = min(have, count), [length]
+                if have > used:
+                    open_at[room].append((have - used, inside))
+                elif not open_at[room]:
+                    rooms.pop(k)
+                count -= used
+            rest = room - length * len(put)
+            if not open_at[rest]:
+                bisect.insort(rooms, rest)
+            open_at[rest].append((used, [*inside, *put]))
+    return [g for at in sorted(open_at) for g in open_at[at]]
+
+
 def plan_groups(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """Groups (how many sequences, the lengths in each) that hold all counted pieces."""
+    """Groups (how many sequences, the lengths in each) that hold all counted pieces.
+
+    Exact complements first and best fit for the rest; where best fit alone needs fewer sequences (very even
+    lengths), its plan is taken.
+    """
+    plain = best_fit(sorted(((x, n) for x, n in counts.items() if n), reverse=True), capacity)
+    exact = _complements(counts, capacity)
+    total = lambda groups: sum(n for n, _ in groups)
+    return exact if total(exact) <= total(plain) else plain
+
+
+def _complements(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     stock, groups, left = _Stock(counts, capacity), [], []
     if stock.n[capacity]:
         groups.append((int(stock.n[capacity]), [capacity]))
@@ -122,24 +164,7 @@ def plan_groups(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
                 stock.n[length] = 0
             else:
                 groups.append((stock.take([length, *combo]), [length, *combo]))
-    # best fit of the rest: largest first, into the open sequences with the least room that suffices
-    open_at: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
-    for length, count in left:
-        while count:
-            room = next((g for g in range(length, capacity) if open_at.get(g)), None)
-            if room is None:
-                each = min(capacity // length, count)
-                times = count // each
-                open_at[capacity - each * length].append((times, [length] * each))
-                count -= times * each
-            else:
-                have, inside = open_at[room].pop()
-                used = min(have, count)
-                if have > used:
-                    open_at[room].append((have - used, inside))
-                open_at[room - length].append((used, [*inside, length]))
-                count -= used
-    return groups + [g for at in sorted(open_at) for g in open_at[at]]
+    return groups + best_fit(left, capacity)
 
 
 def _slots(groups: list[tuple[int, list[int]]]) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 from . import wordbpe
-from .common import map_rows, materialize, table
+from .common import byte_slices, map_rows, materialize, table
 
 #: Tokens in a block (64 KiB: small objects for the JVM, small batches for a worker); blocks in a span of the two-level scans.
 BLOCK_TOKENS, SPAN_BLOCKS = 1 << 15, 1 << 12
@@ -51,10 +51,12 @@ def write_flat(docs: DataFrame, tokenizer_path: str, separator: int = SEPARATOR,
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in byte_slices(batch):
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = np.frombuffer(bpe.encode(text), "<u4").astype(f"<u{WIDTH}").tobytes() + end
+                    tokens = np.frombuffer(bpe.encode(text), "<u4")
+                    if len(tokens) and int(tokens.max()) >> (8 * WIDTH):
+                        raise ValueError(f"a token id does not fit {WIDTH} bytes")
+                    own = tokens.astype(f"<u{WIDTH}").tobytes() + end
                     ids.append(i)
                     held.append(own)
                     size += len(own)

@@ -550,3 +550,25 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     tok = Tokenizer.from_file(wordbpe.default_path())
     texts = {i: re.sub(r"me@home\.example\.org", "<EMAIL>", t or "") for i, t, _ in docs}
     assert {r["doc_id"]: r["length"] for r in rows} == {i: len(tok.encode(texts[i], add_special_tokens=False).ids) + 1 for i in want}
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Empty tables, null and repeated ids, null and long texts, and columns with the stages' own names."""
+    own = ["_bad", "_gone", "_pii_row", "_pii_spans", "base", "row", "c", "head", "comp", "body", "sketch", "band", "held_out", "lang_1"]
+    full = frame(spark).withColumns({c: F.lit("clash") for c in own})
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(k, 1, 0) for k in range(1, 13)] + [(None, 1, 0), (3, None, None), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "a passage that is in none of these documents at all"), (None, None), (2, "")], "item_id long, text string")
+    for k, (docs, labels, bench) in enumerate([(full, some, items), (full, none, items.limit(0)), (full.limit(0), some, items)]):
+        folder = str(tmp_path / f"sf{k}")
+        for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+            df.write.parquet(f"{folder}/{name}.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, folder)
+            assert now.columns == docs.columns
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert (len(rows) > 0) == (k < 2)
+        if k == 1:  # no labels, no benchmark: only texts without words and copies go
+            kept = {r["doc_id"] for r in rows}
+            assert {1, 7, 8, 9, 11, 12, None} <= kept and not kept & {2, 4, 5}

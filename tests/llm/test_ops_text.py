@@ -356,6 +356,12 @@ def test_plan_groups_hold_all_pieces():
         assert len(groups) <= 4 * capacity + 4
 
 
+def test_plan_is_no_worse_than_best_fit():
+    counts = {k: 5 for k in range(1, 4097)}
+    n = sum(t for t, _ in packing.plan_groups(counts))
+    assert n <= sum(t for t, _ in packing.best_fit(sorted(counts.items(), reverse=True), 4096)) and n >= -(-sum(k * c for k, c in counts.items()) // 4096)
+
+
 def test_exact_fills_come_first():
     assert sorted(packing.plan_groups({6: 2, 4: 2, 5: 2}, 10)) == [(1, [5, 5]), (2, [6, 4])]
     assert packing.plan_groups({7: 1, 2: 1, 1: 1}, 10) == [(1, [7, 2, 1])]
