@@ -4,7 +4,8 @@ Counts of the trusted text, continuation counts, discounts and back-off weights
 n-gram, so every step of the fit is a combined aggregate or a join sharded by n-gram.  Scoring joins counts too:
 texts are packed into chunks (one compressed byte a character), each chunk sends its distinct n-grams once, their log probabilities are found by joins
 of the distinct n-grams of all chunks with the model, and come back to the chunks that hold them - so neither the
-model nor a document's n-grams are ever in one place, and a common n-gram counts once a chunk.  Log probabilities
+model nor a document's n-grams are ever in one place, and a common n-gram counts once a chunk.  A model of at most
+HELD_NGRAMS n-grams is sent to the tasks instead, which shuffles no text and gives the same numbers.  Log probabilities
 are whole multiples of 2**-24: their sums do not depend on any order.  A document's perplexity is compared with a high quantile over trusted documents of its language and length band;
 text less likely than that is rejected.  The quantiles come from trusted documents that the model was
 not fitted on, as seen ones look likelier than they are.
@@ -18,11 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from ..ship import ship
-from .common import byte_slices, materialize, table
+from .common import byte_slices, map_rows, materialize, table
 
 ORDER = 5
+#: n-grams that are sent to the scoring tasks at most (24 bytes each); a larger model is joined by n-gram.  Both ways
+#: give the same numbers to the last bit.
+HELD_NGRAMS = 4_000_000
 #: Characters of a chunk (a longer text is a chunk of its own); characters whose n-grams are held at once.
 CHUNK_CHARS, PIECE_CHARS = 32 << 20, 1 << 20
 #: Steps of a log probability to one.
@@ -286,14 +291,77 @@ def _sums(key, packed, told):
     return pa.table({name: pa.array(v, kinds.get(name, pa.int64())) for name, v in out.items()})
 
 
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, number of symbols and log probability in steps of every document row.
+class Scorer:
+    """The model as sorted arrays by n-gram length."""
+
+    def __init__(self, tables: dict[int, tuple[np.ndarray, ...]]):
+        self.tables = tables
+
+    def _find(self, k: int, keys: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each n-gram of k symbols is known, and its value where it is."""
+        known, value = self.tables[k][2 * column : 2 * column + 2]
+        if not len(known):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return known[at] == keys, value[at]
+
+    def logp(self, keys: np.ndarray) -> np.ndarray:
+        """Log probability in steps of each ORDER-gram's last symbol, backing off where an n-gram is unseen."""
+        out, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        for k in range(ORDER, 0, -1):
+            own = keys[open_] % BASE**k
+            hit, p = self._find(k, own, 0)
+            out[open_[hit]] += p[hit]
+            open_ = open_[~hit]
+            if not len(open_):
+                return out
+            some, b = self._find(k - 1, own[~hit] // BASE, 1)
+            out[open_[some]] += b[some]
+        out[open_] += round(-math.log(BASE) * STEPS)
+        return out
+
+
+def score_held(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """The scores with the model in every task: no text is shuffled."""
+    rows = model.toArrow()  # at most HELD_NGRAMS rows
+    length, tables = rows["len"].to_numpy(), {}
+    for k in range(ORDER + 1):
+        part = []
+        for name in ("logp", "logb"):
+            own = rows.filter(pa.array(length == k))
+            own = own.filter(own[name].is_valid())
+            order = np.argsort(own["key"].to_numpy(), kind="stable")
+            part += [own["key"].to_numpy()[order], own[name].to_numpy()[order]]
+        tables[k] = tuple(part)
+    held = docs.sparkSession.sparkContext.broadcast(tables)
+
+    def make():
+        scorer = Scorer(held.value)
+
+        def kernel(cols):
+            out = []
+            short = [k for k, t in enumerate(cols[2]) if len(t or "") <= PIECE_CHARS]
+            keys = [keys_of(cols[2][k] or "") for k in short]
+            every, inverse = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+            total = np.concatenate([[0], np.cumsum(scorer.logp(every)[inverse])])
+            ends = np.cumsum([0, *[len(x) for x in keys]])
+            sums = dict(zip(short, np.diff(total[ends]).tolist()))
+            for k, (i, lang, t) in enumerate(zip(*cols)):
+                if k not in sums:
+                    sums[k] = sum(int(scorer.logp(x).sum()) for _, x in pieces_of(np.concatenate([_PAD, symbols_of(t)])))
+                out.append((i, lang, len(t or ""), sums[k]))
+            return out
+
+        return kernel
+
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "lang", "text"), make, _parse_datatype_string(SCORES), slice_rows=64)
 
-    One plan: the packed chunks are one exchange and their n-grams another, each read twice.
-    """
+
+def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id, lang, number of symbols and log probability in steps of every document row, by sharded joins."""
     ship(docs.sparkSession)
-    packed = docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(_pack, PACKED).repartition("chunk")
-    grams = packed.select("chunk", "body").mapInArrow(_ngrams, "chunk long, key long").repartition("key")
+    packed = materialize(docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(_pack, PACKED), "kn-packed")
+    grams = materialize(packed.select("chunk", "body").mapInArrow(_ngrams, "chunk long, key long"), "kn-grams")
     told = grams.join(backed_off(grams.select("key").distinct(), model), "key").select("chunk", "key", "logp")
     return packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_sums, SCORES)
 
@@ -319,7 +387,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     one = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     trusted = docs.select(F.col("doc_id").cast("long"), "text").join(one.where("not held_out"), "doc_id", "left_semi")
     model = fit(trusted)
-    scores = materialize(score(docs, model), "kn-scores")
+    scores = materialize((score_held if model.count() <= HELD_NGRAMS else score)(docs, model), "kn-scores")
     scores = scores.select(
         "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "n_symbols",
         F.when(F.col("n_symbols") > 0, F.exp(-(F.col("logp") / STEPS) / F.col("n_symbols"))).alias("perplexity"),
