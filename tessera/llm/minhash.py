@@ -7,8 +7,9 @@ discard what the estimate rules out, full shingle sets decide; only verified lin
 Texts with equal sets form a class.  Classes that share a band key form a bucket (never its pairs):
 
 1. Each member is compared with its bucket's first one, once for all buckets that pair them.
-2. Verified links are closed into components.  Buckets whose members are all connected are done.
-3. In the others, members of different components are compared: first sketches, where a pair counts
+2. Verified links are closed into components.  Buckets whose members are all connected are done; in the
+   others the members outside the component of another one are compared with that, for some rounds.
+3. In what is left, members of different components are compared: first sketches, where a pair counts
    in the first of its common bands only; then, among members with a likely partner, full sets.
 
 A bucket is dealt in blocks of bounded size; in one of several blocks, what is outside its largest
@@ -34,6 +35,8 @@ FUNCTIONS = 160
 MISS = 5e-5
 #: Standard deviations that a sketch's estimate may lie under the threshold (one-sided, 3e-7).
 SURE = 5.0
+#: Rounds of comparing each bucket's members with one of them.
+STAR_ROUNDS = 3
 #: Link if 100 * intersection >= percent * union; this is the default.
 PERCENT = 85
 #: Classes of a comparison block on average; shingles of one.
@@ -243,15 +246,40 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
     shared = keys.groupBy("key").agg(F.min("c").alias("head"), F.max("c").alias("tail")).where("head <> tail").select("key", "head")
     keys = materialize(keys.join(shared, "key").select("key", "c", "head"), "mh-keys")
 
-    # 1. members with the first of their bucket
+    # 1. members with the first of their bucket; then, in buckets with unconnected members, with another one
+    links = None
+    for k in range(STAR_ROUNDS):
+        pairs = keys.where("c <> head").select("c", "head") if k == 0 else keys.where("comp <> head_comp").select("c", "head")
+        found = _star_links(docs, reps, pairs.distinct(), percent, k)
+        links = found if links is None else materialize(links.unionByName(found), f"mh-links-{k}")
+        comp = components(links, f"mh-stars-{k}")
+        placed = keys.select("key", "c").join(comp, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("comp"))
+        another = F.min_by(F.struct(F.col("c").alias("head"), F.col("comp").alias("head_comp")), F.xxhash64("c", F.lit(k)))
+        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"), another.alias("h"))
+        split = split.where("x <> y and n > 2").select("key", "h.head", "h.head_comp")
+        keys = materialize(placed.join(split, "key"), f"mh-open-{k}")
+        if keys.isEmpty():
+            return links
+
+    # 2. members of different components: sketches, then sets
+    open_ = keys.select("key", "c", "comp")
+    likely = _likely(_dealt(open_.join(reps.select("c", "n_shingles", "bands", "sketch"), "c"), F.lit(0)), percent)
+    likely = materialize(likely.join(open_, ["key", "c"]), "mh-likely")
+    sets = materialize(_sets(docs, reps.join(likely.select("c").distinct(), "c", "left_semi")), "mh-last-sets")
+    full = likely.join(sets, "c").select("key", "c", "comp", "shingles")
+    return links.unionByName(materialize(_compare(_dealt(full, F.size("shingles")), percent), "mh-last-links"))
+
+
+def _star_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
+    """Verified links among pairs (c, head): sizes and sketches first, then full sets, a head with blocks of its members."""
     slim = reps.select("c", "n_shingles", "sketch")
     first = slim.select(*[F.col(x).alias(f"h_{x}") for x in slim.columns])
-    stars = keys.where("c <> head").select("c", "head").distinct().join(slim, "c").join(first, F.col("head") == F.col("h_c"))
+    stars = pairs.join(slim, "c").join(first, F.col("head") == F.col("h_c"))
     differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("h_sketch")[k])) for k in range(2 * _K // 64)), F.lit(0))
     sizes = 100 * F.least("n_shingles", "h_n_shingles") >= percent * F.greatest("n_shingles", "h_n_shingles")
-    stars = materialize(stars.where(sizes & (2 * _K - differ >= least_equal_bits(percent))).select("c", "head", "n_shingles"), "mh-stars")
+    stars = materialize(stars.where(sizes & (2 * _K - differ >= least_equal_bits(percent))).select("c", "head", "n_shingles"), f"mh-pairs-{k}")
     used = stars.select("c").union(stars.select("head")).distinct()
-    sets = materialize(_sets(docs, reps.join(used, "c", "left_semi")), "mh-sets")
+    sets = materialize(_sets(docs, reps.join(used, "c", "left_semi")), f"mh-sets-{k}")
     per = stars.groupBy("head").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")
     )
@@ -260,23 +288,7 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
         sets.select(F.col("c").alias("head"), "shingles"), "head"
     )
     shape = lambda d, left, c: d.select("head", "block", F.lit(left).alias("left"), F.col(c).alias("c"), F.col(c).alias("comp"), "shingles")
-    links = materialize(_compare(shape(heads, True, "head").unionByName(shape(members, False, "c")), percent), "mh-links-1")
-
-    # 2. buckets with members that are not connected
-    comp = components(links, "mh-first")
-    placed = keys.join(comp, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y and n > 2")
-    open_ = materialize(placed.join(split.select("key"), "key", "left_semi"), "mh-open")
-    if open_.isEmpty():
-        return links
-
-    # 3. members of different components: sketches, then sets
-    likely = _likely(_dealt(open_.join(reps.select("c", "n_shingles", "bands", "sketch"), "c"), F.lit(0)), percent)
-    likely = materialize(likely.join(open_, ["key", "c"]), "mh-likely")
-    more = likely.select("c").distinct().join(sets.select("c"), "c", "left_anti")
-    sets = sets.unionByName(materialize(_sets(docs, reps.join(more, "c", "left_semi")), "mh-more-sets"))
-    full = likely.join(sets, "c").select("key", "c", "comp", "shingles")
-    return links.unionByName(materialize(_compare(_dealt(full, F.size("shingles")), percent), "mh-links-2"))
+    return materialize(_compare(shape(heads, True, "head").unionByName(shape(members, False, "c")), percent), f"mh-star-links-{k}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
