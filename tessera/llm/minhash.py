@@ -35,8 +35,8 @@ FUNCTIONS = 160
 MISS = 5e-5
 #: Standard deviations that a sketch's estimate may lie under the threshold (one-sided, 3e-7).
 SURE = 5.0
-#: Rounds of comparing each bucket's members with one of them.
-STAR_ROUNDS = 3
+#: Rounds of comparing each bucket's members with one of them; on check_h two more closed one bucket row in a hundred.
+STAR_ROUNDS = 1
 #: Link if 100 * intersection >= percent * union; this is the default.
 PERCENT = 85
 #: Classes of a comparison block on average; shingles of one.
@@ -263,10 +263,11 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
 
     # 2. members of different components: sketches, then sets
     open_ = keys.select("key", "c", "comp")
-    likely = _likely(_dealt(open_.join(reps.select("c", "n_shingles", "bands", "sketch"), "c"), F.lit(0)), percent)
+    rows = materialize(open_.join(reps.select("c", "n_shingles", "bands", "sketch"), "c"), "mh-open-rows")  # read several times
+    likely = _likely(_dealt(rows, F.lit(0)), percent)
     likely = materialize(likely.join(open_, ["key", "c"]), "mh-likely")
     sets = materialize(_sets(docs, reps.join(likely.select("c").distinct(), "c", "left_semi")), "mh-last-sets")
-    full = likely.join(sets, "c").select("key", "c", "comp", "shingles")
+    full = materialize(likely.join(sets, "c").select("key", "c", "comp", "shingles"), "mh-last-rows")
     return links.unionByName(materialize(_compare(_dealt(full, F.size("shingles")), percent), "mh-last-links"))
 
 
