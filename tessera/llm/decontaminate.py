@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import ship
-from .common import map_rows, table
+from .common import byte_slices, map_rows, table
 from .words import powers, run_hashes
 
 #: Words of a seed, which is the least tile; items with fewer words are seeds as a whole.
@@ -161,14 +161,14 @@ class Block:
                 covered = sum(t[2] for t in found) / len(item)
                 if covered >= self.coverage and covered > out.get(self.ids[no], (0.0,))[0]:
                     out[self.ids[no]] = (covered, len(found), max(t[2] for t in found))
-        return [(i, *v) for i, v in sorted(out.items())]
+        return [(i, *out[i]) for i in sorted(out, key=lambda i: (i is not None, i or 0))]
 
 
 def blocks(benchmark: DataFrame) -> "list[list[tuple[int, np.ndarray]]]":
     """The items in blocks of at most BLOCK_WORDS words, read one after the other."""
     out: list[list[tuple[int, np.ndarray]]] = [[]]
     size = 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     for i, text in rows.toLocalIterator():
         w = words(text)
         if not len(w):
@@ -188,9 +188,9 @@ LEAKS = "doc_id long, item_id long, coverage double, n_tiles int, longest int"
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest) of each document row and item it holds.
 
-    Null or empty texts and items hold nothing; a null doc_id stays null; repeated rows each report; of
-    items that share an id the best coverage counts; an empty table gives no rows; other columns are
-    ignored.
+    Null or empty texts and items hold nothing; null ids of documents and of items stay null; repeated rows
+    each report; of items that share an id, or have none, the best coverage counts; an empty table gives no
+    rows; other columns are ignored.
     """
     spark, out = docs.sparkSession, None
     texts = docs.select(F.col("doc_id").cast("long"), "text")
@@ -208,7 +208,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The document rows that hold no item, with all their columns; narrow, one filter pass a block."""
+    """The document rows that hold no item, with or without an id, with all their columns; narrow, one filter pass a block."""
     spark = docs.sparkSession
     ship(spark)
     for block in blocks(benchmark):
@@ -218,8 +218,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
             index = Block(held.value, coverage)
             for batch in batches:
                 at = batch.schema.get_field_index("text")
-                for start in range(0, batch.num_rows, 256):
-                    part = batch.slice(start, 256)
+                for part in byte_slices(batch):
                     yield part.filter(pa.array([not index.held(t) for t in part.column(at).to_pylist()]))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -171,6 +171,14 @@ def test_decontamination(spark, monkeypatch):
     assert [h[0] for h in block.held(long)] == [1, 2]
 
 
+def test_decontamination_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, ITEMS[4][1]), (None, "another item that has no id either"), (9, ITEMS[0][1])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {ITEMS[4][1]} y"), (2, f"{ITEMS[0][1]} {ITEMS[4][1]}"), (3, "clean words only")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(1, None), (2, None), (2, 9)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site name</header><nav><ul><li><a href=/x>x</a></li></ul></nav><div class="ad banner">Buy &lt;now&gt;</div>
 <article><h1>Head &amp; shoulders</h1><p>First  para
