@@ -9,6 +9,7 @@ import pytest
 
 from tessera.llm import chat, decontaminate, html, packing, tokencount, wordbpe
 from tessera.llm.common import materialize
+from tessera.llm.words import mix
 
 from .fixtures import DOCS, empty, frame
 
@@ -135,7 +136,7 @@ def _gst(a, b, least):
 
 def test_tiles_equal_plain_greedy_tiling():
     rnd = random.Random(1)
-    h = lambda s: decontaminate.mix(np.array(s, np.uint64) + np.uint64(1))
+    h = lambda s: mix(np.array(s, np.uint64) + np.uint64(1))
     for _ in range(150):
         a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(n))] for n in (40, 25))
         assert sorted(decontaminate.tiles(h(a), h(b), 3)) == sorted(_gst(a, b, 3))
