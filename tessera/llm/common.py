@@ -18,6 +18,8 @@ from ..sources.scratch import new_folder
 SLICE_ROWS = 256
 #: Bytes of text that a Python kernel turns into Python strings at once; a longer row comes alone.
 SLICE_BYTES = 8 << 20
+#: Keys with more than one row in so many are hot; by counting there are fewer than that of them.
+HOT_PARTS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,22 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_by_key(rows: DataFrame, per: DataFrame, key: str, spread: str, label: str) -> DataFrame:
+    """rows joined with per, one row a key, whose column n counts the rows of the key (n stays).
+
+    No task gets much more than one part in HOT_PARTS of the rows for a single key: the rows of a hot key are dealt by a
+    hash of ``spread`` over as many parts as it needs, and its row of per is repeated for each, fewer than 2 * HOT_PARTS in all.
+    """
+    per = materialize(per, label)
+    total = per.agg(F.sum("n")).first()[0] or 0
+    parts = F.ceil(F.col("n") * HOT_PARTS / F.lit(max(1, total))).cast("long")
+    hot = per.where(F.col("n") * HOT_PARTS > total).select(key, parts.alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0).cast("long"))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("_part", part).drop("_parts")
+    per = per.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1).cast("long")) - 1)))
+    return rows.join(per, [key, "_part"]).drop("_part")
+
+
 def byte_slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most so many rows and bytes of strings; a longer row makes a slice of its own."""
     size = np.zeros(batch.num_rows, np.int64)

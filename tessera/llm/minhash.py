@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, materialize, table
+from .common import join_by_key, map_rows, materialize, table
 from .graph import components
 from .words import mix, shingle_set
 
@@ -206,7 +206,7 @@ def _dealt(rows: DataFrame, weight) -> DataFrame:
         F.ceil(F.greatest(F.sum("n") / BLOCK_DOCS, F.sum("w") / BLOCK_SHINGLES)).cast("long").alias("blocks"),
     ).where("n_largest < n")
     own = [x for x in rows.columns if x != "key"]
-    rows = rows.join(per, "key")
+    rows = join_by_key(rows, per, "key", "c", "mh-blocks")
     zero = F.lit(0).cast("long")
     small = rows.where("blocks <= 1").select("key", zero.alias("i"), zero.alias("j"), F.lit(True).alias("left"), *own)
     open_blocks = F.ceil((F.col("n") - F.col("n_largest")) / F.col("n") * F.col("blocks")).cast("long")

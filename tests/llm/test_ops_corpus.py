@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, graph, kneser, minhash, pii, repeats, rules
+from tessera.llm import common, decontaminate, graph, kneser, minhash, pii, repeats, rules
 from tessera.llm.words import shingle_set, word_hashes
 
 from .fixtures import DOCS, empty, frame
@@ -62,9 +62,22 @@ def test_words_match_their_definition():
     assert len(shingle_set("a b c d e f")) == 2 and len(shingle_set("a b")) == 1 and len(shingle_set(" ")) == 0 == len(shingle_set(None))
 
 
-@pytest.mark.parametrize("block", [512, 6])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+def test_join_by_key_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_PARTS", 8)
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("c"))
+    per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).where("k < 900")
+    got = common.join_by_key(rows, per, "k", "c", "t")
+    assert got.columns == ["k", "c", "n", "least"]
+    want = {(7, c, 666, 1) if c % 3 else (c, c, 1, c) for c in range(1000) if c % 3 or c < 900}
+    found = got.collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+    assert common.join_by_key(rows, per.where("n < 0"), "k", "c", "t").collect() == []
+
+
+@pytest.mark.parametrize("block, hot", [(512, 4096), (6, 8)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, hot):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
+    monkeypatch.setattr(common, "HOT_PARTS", hot)
     rows = [(i, t) for i, t, _ in DOCS] + [(100 + k, t) for k, t in enumerate(_variants(60, 1) + _variants(25, 2, base=12, edits=3))]
     rows += [(300 + k, rows[20][1]) for k in range(10)]
     df = frame(spark, [(i, t, "en") for i, t in rows])
