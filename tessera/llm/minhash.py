@@ -208,14 +208,14 @@ def _dealt(rows: DataFrame, weight) -> DataFrame:
     own = [x for x in rows.columns if x != "key"]
     rows = join_by_key(rows, per, "key", "c", "mh-blocks")
     zero = F.lit(0).cast("long")
-    small = rows.where("blocks <= 1").select("key", zero.alias("i"), zero.alias("j"), F.lit(True).alias("left"), *own)
     open_blocks = F.ceil((F.col("n") - F.col("n_largest")) / F.col("n") * F.col("blocks")).cast("long")
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     block = lambda n, seed: F.pmod(F.xxhash64("c", F.lit(seed)), n)
-    wide = rows.where("blocks > 1")
-    left = wide.where("comp <> largest").select("key", block(open_blocks, 2).alias("i"), everywhere(F.col("blocks")).alias("j"), F.lit(True).alias("left"), *own)
-    right = wide.select("key", everywhere(open_blocks).alias("i"), block(F.col("blocks"), 1).alias("j"), F.lit(False).alias("left"), *own)
-    return small.unionByName(left).unionByName(right)
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    left = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda j: place(block(open_blocks, 2), j, True))
+    right = F.transform(F.sequence(zero, open_blocks - 1), lambda i: place(i, block(F.col("blocks"), 1), False))
+    # (one list of places a row, so that the join above is evaluated once)
+    places = F.when(F.col("blocks") <= 1, F.array(place(zero, zero, True))).when(F.col("comp") != F.col("largest"), F.concat(left, right)).otherwise(right)
+    return rows.select("key", *own, F.explode(places).alias("at")).select("key", "at.i", "at.j", "at.left", *own)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -128,6 +128,31 @@ def test_buckets_of_half_alike_texts_stay_open_yet_cheap(spark, monkeypatch):
     assert sum(seen) < 40 * len(rows), seen
 
 
+def test_blocks_are_dealt_in_one_pass_and_meet_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 6)
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(c):
+        calls.add(1)
+        return c
+
+    seen = F.udf(count, "long").asNondeterministic()  # counts how often a row is evaluated behind the deal's join
+    monkeypatch.setattr(minhash, "join_by_key", lambda *a: common.join_by_key(*a).withColumn("c", seen("c")))
+    comps = {1: [0] * 40 + list(range(1, 12)), 2: [5, 5, 6], 3: [7] * 9}  # a bucket of many blocks, one of one, one closed
+    rows = [(key, 100 * key + n, comp) for key, of in comps.items() for n, comp in enumerate(of)]
+    dealt = minhash._dealt(spark.createDataFrame(rows, "key long, c long, comp long"), F.lit(0)).collect()
+    assert calls.value == sum(len(of) for key, of in comps.items() if key != 3)
+    blocks: dict = {}
+    for r in dealt:
+        blocks.setdefault((r["key"], r["i"], r["j"]), []).append((r["left"], r["c"], r["comp"]))
+    met = set()
+    for (key, _, _), members in blocks.items():
+        left, right = [m for m in members if m[0]], [m for m in members if not m[0]]
+        met |= {(key, *sorted((a[1], b[1]))) for a in left for b in (right or left) if a[2] != b[2]}
+    want = {(k, *sorted((a, b))) for k, a, x in rows for l, b, y in rows if k == l and x != y}
+    assert met == want
+
+
 def test_banding_and_sketches():
     for percent in (80, 85):
         n, rows = minhash.banding(percent)
