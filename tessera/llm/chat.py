@@ -2,7 +2,8 @@
 
 A conversation is formatted once.  Each assistant turn is an example: a prefix of that text as context
 and the span of its reply as the only trainable part.  Examples share the text by offsets, so a
-conversation of n turns takes O(n) space; ``expand`` writes the examples out where a trainer wants them.
+conversation of n turns takes O(n) space; ``prefixes`` writes the examples out, a row each, and the query
+reads its results back from these rows.  Rows are streamed; of a context only what no earlier example holds is gathered.
 """
 
 from __future__ import annotations
@@ -66,18 +67,36 @@ def format_chats(turns: DataFrame) -> DataFrame:
     )
 
 
-def expand(chats: DataFrame) -> DataFrame:
-    """The examples written out: conv_id, turn_no, context, reply (escaped, as formatted), with all earlier turns in context."""
-    x = F.col("x")
-    return chats.select("conv_id", "formatted", F.explode("examples").alias("x")).select(
+def prefixes(chats: DataFrame) -> DataFrame:
+    """The examples written out: conv_id, turn_no, context, seen, reply (escaped, as formatted), with all earlier turns in context.
+
+    ``seen`` is how much of the context is in the earlier example's context and reply.  A conversation's last row has the
+    whole text as context and a null reply, so that turns behind the last reply, or without any, are there too.
+    """
+    x, none = F.col("x"), F.lit(0).cast("long")
+    fields = lambda no, start, end, seen: F.struct(no.alias("turn_no"), start.alias("start"), end.alias("end"), F.coalesce(seen, none).alias("seen"))
+    all_ = F.length("formatted").cast("long")
+    each = F.transform("examples", lambda e, k: fields(e["turn_no"].cast("long"), e["start"], e["end"], F.get("examples", k - 1)["end"]))
+    whole = fields(F.col("n_turns") + 1, all_, F.lit(None).cast("long"), F.get("examples", F.size("examples") - 1)["end"])
+    return chats.select("conv_id", "formatted", F.explode(F.concat(each, F.array(whole))).alias("x")).select(
         "conv_id", x["turn_no"].alias("turn_no"),
-        F.substring("formatted", F.lit(1), x["start"].cast("int")).alias("context"),
+        F.substring("formatted", F.lit(1), x["start"].cast("int")).alias("context"), x["seen"].alias("seen"),
         F.substring("formatted", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")).alias("reply"),
     )
 
 
+def expand(chats: DataFrame) -> DataFrame:
+    """The examples alone: conv_id, turn_no, context, reply."""
+    return prefixes(chats).where("reply is not null").select("conv_id", "turn_no", "context", "reply")
+
+
 def read_back(chats: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted text and the spans alone."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the written out examples alone."""
+    fresh = F.substring("context", (F.col("seen") + 1).cast("int"), F.length("context"))
+    rows = prefixes(chats).select("conv_id", F.struct("turn_no", fresh.alias("fresh"), "reply").alias("row"))
+    rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: F.concat(r["fresh"], F.coalesce(r["reply"], F.lit("")))), "")
+    loss = F.array_join(F.transform("rows", lambda r: unescape(r["reply"])), "")
     parts = F.split("formatted", r"<\|im_end\|>\n")
     turns = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.substring(p, F.lit(len(START) + 1), F.length(p)))
     told = F.transform(
@@ -87,10 +106,7 @@ def read_back(chats: DataFrame) -> DataFrame:
             unescape(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 2, F.length(p))), F.lit("\n"),
         ),
     )
-    replies = F.transform(
-        "examples", lambda x: unescape(F.substring("formatted", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
-    )
-    return chats.select("conv_id", "formatted", F.array_join(replies, "").alias("loss"), told.alias("told")).select(
+    return rows.select("conv_id", text.alias("formatted"), loss.alias("loss")).select("conv_id", "formatted", "loss", told.alias("told")).select(
         "conv_id", F.size("told").cast("long").alias("n_turns"), F.sha2(F.array_join("told", ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, html, packing, tokencount, wordbpe
 from tessera.llm.common import materialize
@@ -104,6 +105,25 @@ def test_chat_reads_back_what_went_in(spark):
     assert chat.read_back(chat.format_chats(df.limit(0))).collect() == []
 
 
+def test_chat_is_read_back_from_written_out_examples(spark, monkeypatch):
+    chats = chat.format_chats(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string"))
+    by: dict = {}
+    for r in chat.prefixes(chats).collect():
+        by.setdefault(r["conv_id"], []).append(r)
+    whole = {r["conv_id"]: r for r in chats.collect()}
+    assert set(by) == set(whole)
+    for c, rows in by.items():
+        rows.sort(key=lambda r: r["turn_no"])
+        text, spans = whole[c]["formatted"], whole[c]["examples"]
+        assert [(r["context"], r["reply"]) for r in rows] == [(text[: e["start"]], text[e["start"] : e["end"]]) for e in spans] + [(text, None)]
+        assert [r["seen"] for r in rows] == [0, *[e["end"] for e in spans]]
+    plain, good = chat.prefixes, {r["conv_id"]: r for r in chat.read_back(chats).collect()}
+    spoilt = F.when(F.col("turn_no") == 3, F.replace("context", F.lit("kind"), F.lit("mean"))).otherwise(F.col("context"))
+    monkeypatch.setattr(chat, "prefixes", lambda d: plain(d).withColumn("context", spoilt))
+    bad = {r["conv_id"]: r for r in chat.read_back(chats).collect()}
+    assert {c for c in good if good[c] != bad[c]} == {1}  # an example's own context is what is read
+
+
 def test_chat_query_equals_its_sql(spark, sf):
     import duckdb
 
